@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import toxicity
 from .bpe import encode_and_decode
 from .jpeg import media_columns
+from .langid import learn_and_identify
 from .minhash import near_duplicates
 from .packing import pack
 
@@ -17,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -26,6 +33,10 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
@@ -36,8 +47,10 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mil_toxicity": op1_mil_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op6_rank_order_language": op6_rank_order_language,
     "op8_jpeg_media": op8_jpeg_media,
     "op10_mixture_packing": op10_mixture_packing,
 }
