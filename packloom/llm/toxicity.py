@@ -25,7 +25,7 @@ SAMPLE_ROWS = 3_000
 FEATURES = 4_000
 MIN_DOCS = 4
 #: Lengths of word beginnings that are features beside whole words.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.7
 
 _TOKENS = re.compile(r"\w+|[.!?\n]+")
@@ -54,7 +54,7 @@ class Model:
     bias: float
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 300, l1: float = 0.3, l2: float = 0.02) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 300, l1: float = 0.1, l2: float = 0.02) -> Model:
     """Noisy-or likelihood with an elastic net, by accelerated proximal gradients.
 
     Without documents of both classes nothing can be learned: every sentence scores near 0.
@@ -65,7 +65,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, l1: float = 0.3,
     counts, frequency = (Counter(), Counter()), Counter()
     documents = []
     for text, label in zip(texts, y, strict=True):
-        bags = [Counter(f for w in s for f in _features(w)) for s in _sentences(text)]
+        bags = [{f for w in s for f in _features(w)} for s in _sentences(text)]
         documents.append(bags)
         present = set().union(*bags) if bags else set()
         counts[int(label)].update(present)
@@ -82,28 +82,26 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, l1: float = 0.3,
     index = {f: k for k, f in enumerate(able)}
     if not index:
         return Model({}, -12.0)
-    rows, cols, values, owner, plain = [], [], [], [], np.zeros(len(y))
+    rows, cols, owner, plain = [], [], [], np.zeros(len(y))
     for d, bags in enumerate(documents):
         for bag in bags:
-            found = [(index[f], min(c, 3)) for f, c in bag.items() if f in index]
+            found = sorted(index[f] for f in bag if f in index)
             if not found:
                 plain[d] += 1
                 continue
-            for k, c in found:
-                rows.append(len(owner))
-                cols.append(k)
-                values.append(c)
+            rows += [len(owner)] * len(found)
+            cols += found
             owner.append(d)
-    rows, cols, values, owner = np.array(rows), np.array(cols), np.array(values, float), np.array(owner)
+    rows, cols, owner = np.array(rows, int), np.array(cols, int), np.array(owner, int)
     n = len(y)
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(rows, values * w[cols], len(owner)) + b
+        z = np.bincount(rows, w[cols], len(owner)) + b
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
         none = np.bincount(owner, np.logaddexp(0, z), n) + plain * np.logaddexp(0, b)  # -log of "no sentence is"
         pull = np.where(y, -1 / np.expm1(np.clip(none, 1e-9, 50)), 1.0)
         g = pull[owner] * p
-        return np.bincount(cols, values * g[rows], len(w)), float(g.sum() + (pull * plain * p0).sum())
+        return np.bincount(cols, g[rows], len(w)), float(g.sum() + (pull * plain * p0).sum())
 
     w, b = np.zeros(len(index)), -4.0
     speed_w, speed_b, scale_w, scale_b = np.zeros(len(w)), 0.0, np.full(len(w), 1e-8), 1e-8
@@ -144,7 +142,11 @@ class Scorer(dict):
         if not words.any():
             return np.empty(0)
         begins = np.flatnonzero(words & np.concatenate(([True], stop[:-1])))
-        z = np.add.reduceat(np.where(stop, 0.0, w), begins) + self.model.bias
+        z = np.add.reduceat(np.where(stop, 0.0, w), begins)
+        for k in np.flatnonzero(np.add.reduceat((w != 0) & words, begins) > 1):  # a repeated word counts once
+            end = begins[k + 1] if k + 1 < len(begins) else len(tokens)
+            z[k] = sum(self[t] for t in {*tokens[begins[k] : end]} if t[0] not in ".!?\n")
+        z += self.model.bias
         return 1 / (1 + np.exp(-z))
 
     def score(self, text: str | None) -> float:
@@ -156,16 +158,17 @@ class Scorer(dict):
         lowered = text.lower()
         if len(lowered) != len(text):  # keep positions where lowering changes lengths
             lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        out, span, total = [], None, 0.0
+        out, span, total, seen = [], None, 0.0, set()
         for m in [*_TOKENS.finditer(lowered), None]:
             if m is None or m[0][0] in ".!?\n":
                 p = 1 / (1 + np.exp(-total - self.model.bias))
                 if span and p >= least:
                     out.append({"start": span[0], "end": span[1], "score": float(p)})
-                span, total = None, 0.0
+                span, total, seen = None, 0.0, set()
             else:
                 span = (span[0] if span else m.start(), m.end())
-                total += self[m[0]]
+                total += self[m[0]] if m[0] not in seen else 0.0
+                seen.add(m[0])
         return out
 
 
