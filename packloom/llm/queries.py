@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import toxicity
 from .bpe import encode_and_decode
+from .gridorder import near_duplicate_vectors
 from .jpeg import media_columns
 from .langid import learn_and_identify
 from .minhash import near_duplicates
@@ -37,6 +38,10 @@ def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_prefix_bpe": op4_prefix_bpe,
     "op6_rank_order_language": op6_rank_order_language,
+    "op7_grid_order_join": op7_grid_order_join,
     "op8_jpeg_media": op8_jpeg_media,
     "op10_mixture_packing": op10_mixture_packing,
 }
