@@ -11,16 +11,17 @@ Nothing emits all pairs of a bucket:
 2. Every set is compared with one leader, the most popular member of its
    buckets.  This joins the bulk of a group in one comparison per member.
 3. Only buckets that still hold several components are looked at again, and
-   there only sets outside the bucket's leading component.  A set can link only
-   through shingles that some other such set has too, so with ``m`` of those
-   and sizes ``x`` and ``y`` a link needs ``180 m >= 80 (x + y)``: an exact
-   bound that drops sets whose edits are their own.
+   there only sets outside the bucket's leading component.  Each set has parity
+   bits, one flip for each shingle; where two sets' bits differ, so do the sets.
+   A link allows (x + y) * 20 / 180 differing shingles for sizes x and y, so
+   more differing bits than that rule a pair out, exactly and within the join.
 4. All remaining pairs are compared on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .staging import stage
-from .shingles import WordHasher, band_keys, linked, min_max, permutations, shingle_set
+from .shingles import WordHasher, band_keys, linked, min_max, parity_bits, permutations, shingle_set
 
 PERMUTATIONS = 120
 BAND_ROWS = 6
+#: Parity bits of a set that the last step compares before it compares full sets.
+BITS = 2_048
 #: A table of at most so many ids is broadcast; it is counted first.
 BROADCAST_IDS = 1_000_000
 
@@ -72,7 +75,8 @@ def _sets(words: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py(), words, hasher).tobytes() for x in part.column(1)], pa.binary())], ["id", "words"])
+                found = [shingle_set(x.as_py(), words, hasher) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([parity_bits(h, BITS).tolist() for h in found], pa.list_(pa.int64()))], ["id", "words", "bits"])
 
     return run
 
@@ -94,6 +98,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_compare(percent), "a long, b long")
 
 
+def _least_difference(x: str, y: str) -> Column:
+    """A lower bound of |A ^ B|: positions at which the parity bits of the two sets differ."""
+    return reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
+
+
 def _fits(n: str, m: str, percent: int) -> Column:
     """Sizes n, m allow a similarity of percent."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -126,7 +135,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = stage(full, "mh-full")
     members = stage(rows.join(full, "key"), "mh-members")
     ids = stage(members.select("id").distinct(), "mh-ids")
-    sets = stage(_within(docs, ids).mapInArrow(_sets(words), "id long, words binary"), "mh-sets")
+    sets = stage(_within(docs, ids).mapInArrow(_sets(words), "id long, words binary, bits array<long>"), "mh-sets")
 
     # One comparison per member, with the most popular leader of its buckets.
     popular = stage(members.groupBy("id").agg(F.sum("size").alias("fame")), "mh-fame")
@@ -143,25 +152,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     mixed = stage(mixed.join(leaders.select("key", "leader"), "key").join(parts.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
     open_ = stage(placed.join(mixed, "key"), "mh-open")
-    wanted = stage(open_.select("id").distinct(), "mh-wanted")
-    shingles = _within(sets, wanted).mapInArrow(_exploded, "id long, shingle long")
-    own = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    open_ = stage(open_.join(stage(own, "mh-own"), "id", "left").select("key", "id", "n", "least", "part", "main", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")), "mh-bounded")
-    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    able = open_.where((100 + percent) * F.col("m") >= percent * (F.col("n") + smallest))
-    x = able.where("part <> main").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("part").alias("ap"))
-    y = able.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("part").alias("bp"), "main")
-    rest = x.join(y, "key").where((F.col("ap") != F.col("bp")) & ((F.col("bp") == F.col("main")) | (F.col("a") > F.col("b"))) & _fits("an", "bn", percent) & (F.least("am", "bm") * (100 + percent) >= percent * (F.col("an") + F.col("bn"))))
+    open_ = stage(open_.join(sets.select("id", "bits"), "id"), "mh-bits")
+    x = open_.where("part <> main").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"), F.col("bits").alias("abits"))
+    y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"), F.col("bits").alias("bbits"), "main")
+    new = (F.col("ap") != F.col("bp")) & ((F.col("bp") == F.col("main")) | (F.col("a") > F.col("b")))
+    rest = x.join(y, "key").where(new & _fits("an", "bn", percent) & (_least_difference("abits", "bbits") * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     second = stage(_verified(stage(rest, "mh-rest"), sets, percent), "mh-second")
 
     labels = stage(connected_components(copies.union(first).union(second)), "mh-labels")
     out = features.select("id", "n").join(labels, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, words in zip(batch.column("id").to_pylist(), batch.column("words"), strict=True):
-            h = np.frombuffer(words.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], ["id", "shingle"])

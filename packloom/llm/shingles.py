@@ -76,6 +76,12 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parity_bits(h: np.ndarray, size: int) -> np.ndarray:
+    """``size`` bits as longs: each element flips one bit, so differing bits never outnumber differing elements."""
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * |x & y| >= percent * |x | y|, for sorted distinct arrays."""
     small, large = sorted((len(x), len(y)))
