@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import toxicity
+from . import htmltext, toxicity
 from .bpe import encode_and_decode
 from .gridorder import near_duplicate_vectors
 from .jpeg import media_columns
@@ -46,6 +46,10 @@ def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op9_boosted_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"), htmltext.train())
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rank_order_language": op6_rank_order_language,
     "op7_grid_order_join": op7_grid_order_join,
     "op8_jpeg_media": op8_jpeg_media,
+    "op9_boosted_main_text": op9_boosted_main_text,
     "op10_mixture_packing": op10_mixture_packing,
 }
 
