@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import htmltext, toxicity
+from . import chat, htmltext, linededup, toxicity
 from .bpe import encode_and_decode
 from .gridorder import near_duplicate_vectors
 from .jpeg import media_columns
@@ -29,11 +29,19 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +66,9 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mil_toxicity": op1_mil_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_perspective_chat": op3_perspective_chat,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op5_line_windows": op5_line_windows,
     "op6_rank_order_language": op6_rank_order_language,
     "op7_grid_order_join": op7_grid_order_join,
     "op8_jpeg_media": op8_jpeg_media,
@@ -67,4 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB counterparts, where SQL can state the result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_perspective_chat": chat.SQL,
+    "op5_line_windows": linededup.SQL,
+}
