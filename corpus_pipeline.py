@@ -1,25 +1,74 @@
-"""From raw documents to packed training sequences; see ``STAGES``."""
+"""From raw documents to packed training sequences.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from packloom.llm import langid, linededup, packing, toxicity
 from packloom.llm.minhash import near_duplicates
 from packloom.llm.staging import stage
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows whose id has a verdict of true; of a null id, all."""
+    refused = stage(verdicts.where(~F.col("keep") & F.col("doc_id").isNotNull()).select("doc_id"), "pipeline-refused")
+    return docs.join(refused, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trained classifier calls toxic go."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _keep(docs, toxicity.score(docs, model).select("doc_id", (F.col("predicted") == 0).alias("keep")))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without one n-gram of any learned language, go; ``lang`` becomes the prediction."""
+    found = langid.learn_and_identify(docs)
+    wrong = stage(found.where("doc_id is not null").select("doc_id", "lang_pred", "distance"), "pipeline-languages")
+    named = docs.join(wrong.dropDuplicates(["doc_id"]), "doc_id", "left")
+    kept = named.where(F.coalesce((F.col("lang_pred") != langid.UNKNOWN) & (F.col("distance") < 1), F.lit(True)))
+    return kept.withColumn("lang", F.coalesce("lang_pred", "lang")).select(docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated passages go; so do documents that consisted of nothing else."""
+    out = linededup.remove_repeats(docs)
+    out = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _keep(docs, near_duplicates(docs).select("doc_id", F.col("kept").alias("keep")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens, every one with the sources' share of tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_duplicates", drop_near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("line_dedup", remove_repeated_passages),
+    ("near_duplicates", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
 
+#: The classifiers and the tokenizer have no SQL form; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
