@@ -9,7 +9,6 @@ The same weights then point out the offending sentences.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .langid import held_out
+from .staging import stage
 
 #: Labelled rows of each class that the classifier is fitted on at most, those whose ids hash lowest.
 SAMPLE_ROWS = 3_000
@@ -54,45 +54,44 @@ class Model:
     bias: float
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 300, l1: float = 0.1, l2: float = 0.02) -> Model:
-    """Noisy-or likelihood with an elastic net, by accelerated proximal gradients.
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every feature of each document once, with the document's label."""
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
+            found = sorted({f for s in _sentences(text.as_py()) for w in s for f in _features(w)})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label.as_py()] * len(found), pa.int32())], ["feature", "label"])
 
-    Without documents of both classes nothing can be learned: every sentence scores near 0.
+
+def _bags(index: dict[str, int]):
+    """Per document: the chosen features of each sentence that has any, and how many sentences have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain, sizes, features = [], [], []
+            for text in batch.column("text"):
+                bags = [sorted({index[f] for w in s for f in _features(w) if f in index}) for s in _sentences(text.as_py())]
+                full = [bag for bag in bags if bag]
+                plain.append(len(bags) - len(full))
+                sizes.append(np.array([len(bag) for bag in full], np.int32).tobytes())
+                features.append(np.array([k for bag in full for k in bag], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(plain, pa.int32()), pa.array(sizes, pa.binary()), pa.array(features, pa.binary())], ["place", "label", "plain", "sizes", "features"])
+
+    return run
+
+
+def fit(y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], index: dict[str, int], rounds: int = 300, l1: float = 0.1, l2: float = 0.02) -> Model:
+    """Noisy-or likelihood with an elastic net, by scaled proximal gradients.
+
+    ``bags`` holds per document the sizes of its sentences' feature lists and the
+    lists in a row.  Without documents of both classes nothing can be learned:
+    every sentence scores near 0.
     """
-    y = np.array(labels, bool)
-    if not y.any() or y.all():
-        return Model({}, -12.0)
-    counts, frequency = (Counter(), Counter()), Counter()
-    documents = []
-    for text, label in zip(texts, y, strict=True):
-        bags = [{f for w in s for f in _features(w)} for s in _sentences(text)]
-        documents.append(bags)
-        present = set().union(*bags) if bags else set()
-        counts[int(label)].update(present)
-    frequency.update(counts[0])
-    frequency.update(counts[1])
-    rate = y.mean()
-
-    def weight_of(f: str) -> float:  # signed root of the likelihood ratio
-        n, k = frequency[f], counts[1][f]
-        expected = n * rate
-        return (k - expected) / np.sqrt(expected * (1 - rate) + 1)
-
-    able = sorted((f for f, n in frequency.items() if n >= MIN_DOCS), key=lambda f: (-abs(weight_of(f)), f))[:FEATURES]
-    index = {f: k for k, f in enumerate(able)}
-    if not index:
+    if not y.any() or y.all() or not index:
         return Model({}, -12.0)
-    rows, cols, owner, plain = [], [], [], np.zeros(len(y))
-    for d, bags in enumerate(documents):
-        for bag in bags:
-            found = sorted(index[f] for f in bag if f in index)
-            if not found:
-                plain[d] += 1
-                continue
-            rows += [len(owner)] * len(found)
-            cols += found
-            owner.append(d)
-    rows, cols, owner = np.array(rows, int), np.array(cols, int), np.array(owner, int)
+    sizes = [s for s, _ in bags]
+    owner = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
+    sizes = np.concatenate(sizes)
+    rows, cols = np.repeat(np.arange(len(owner)), sizes), np.concatenate([f for _, f in bags])
     n = len(y)
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
@@ -176,13 +175,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``SAMPLE_ROWS`` labelled, not held-out documents of each class.
 
     Several labels of one document count as toxic if any is.  Null labels, ids
-    and texts are left out.
+    and texts are left out.  The driver receives ``FEATURES`` words and the
+    sample's sentences as lists of their numbers.
     """
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out(id_col)).groupBy(id_col).agg(F.max("label").alias("label"))
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS) for k in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # 2 * SAMPLE_ROWS ids at most
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).where("text is not null").join(sample, id_col).orderBy(F.xxhash64(id_col), id_col).select("text", "label").limit(2 * SAMPLE_ROWS).toPandas()
-    return fit(rows["text"].tolist(), rows["label"].tolist())
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).where("text is not null").join(sample, id_col)
+    rows = stage(rows.select(F.xxhash64(id_col).alias("place"), "text", "label").repartition(12), "toxic-sample")
+    total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    rate = toxic / max(1, total)
+    counts = rows.mapInArrow(_present, "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= MIN_DOCS)
+    apart = F.abs(F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)  # signed root of a likelihood ratio
+    index = {r["feature"]: i for i, r in enumerate(counts.orderBy(apart.desc(), "feature").select("feature").limit(FEATURES).collect())}
+    found = sorted(rows.mapInArrow(_bags(index), "place long, label int, plain int, sizes binary, features binary").collect())
+    numbers = [(np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["features"], np.int32)) for r in found]
+    return fit(np.array([r["label"] for r in found], bool), np.array([r["plain"] for r in found], float), numbers, index)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
