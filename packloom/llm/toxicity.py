@@ -27,6 +27,8 @@ MIN_DOCS = 4
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.7
+#: The fit ends when no weight has moved further than this for ten rounds.
+STILL = 5e-4
 
 _TOKENS = re.compile(r"\w+|[.!?\n]+")
 
@@ -79,7 +81,7 @@ def _bags(index: dict[str, int]):
     return run
 
 
-def fit(y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], index: dict[str, int], rounds: int = 300, l1: float = 0.1, l2: float = 0.02) -> Model:
+def fit(y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], index: dict[str, int], rounds: int = 1_000, l1: float = 0.1, l2: float = 0.02) -> Model:
     """Noisy-or likelihood with an elastic net, by scaled proximal gradients.
 
     ``bags`` holds per document the sizes of its sentences' feature lists and the
@@ -104,15 +106,20 @@ def fit(y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarra
 
     w, b = np.zeros(len(index)), -4.0
     speed_w, speed_b, scale_w, scale_b = np.zeros(len(w)), 0.0, np.full(len(w), 1e-8), 1e-8
-    for step in range(1, rounds + 1):
+    still = 0
+    for _ in range(rounds):
         gw, gb = gradient(w, b)
         gw = gw + l2 * w
         scale_w, scale_b = np.maximum(0.99 * scale_w, gw * gw), max(0.99 * scale_b, gb * gb)
         speed_w, speed_b = 0.8 * speed_w + 0.2 * gw, 0.8 * speed_b + 0.2 * gb
         rate_w = 0.15 / np.sqrt(scale_w)
+        before, bias = w, b
         w = w - rate_w * speed_w
         w = np.sign(w) * np.maximum(np.abs(w) - rate_w * l1, 0)
         b -= 0.15 * speed_b / np.sqrt(scale_b)
+        still = 0 if max(abs(b - bias), np.abs(w - before).max()) > STILL else still + 1
+        if still >= 10:
+            break
     return Model({f: float(w[k]) for f, k in index.items() if w[k]}, float(b))
 
 
