@@ -178,7 +178,8 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     tokens added; strings of special tokens inside a text become those tokens.
     Null and empty texts give no ids and the empty string.  Rows of any id, null
     or repeated, are kept; other columns are ignored.  ``path`` must exist on
-    the executors.
+    the executors.  Characters younger than this Python's Unicode tables may be
+    split otherwise than the library does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
