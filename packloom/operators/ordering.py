@@ -8,6 +8,7 @@ is broadcast.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -19,6 +20,12 @@ def _ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packloom-"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder that executors share."""
+    _ensure_checkpoints(spark)
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/packloom-{uuid.uuid4().hex}"
+
+
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that a lost executor cannot change an assigned order."""
     _ensure_checkpoints(df.sparkSession)

@@ -197,14 +197,18 @@ def build_incremental(assets: DataFrame, previous: str, path: str, settings: Set
     fresh = open_package(spark, f"{temp}.new")
     reused = plan.where("action = 'reuse'").select("relative_path")
     index = old["index"].join(reused, "relative_path", "left_semi")
-    # a kept duplicate whose original is gone or changed points to the first kept copy of the same bytes
+    # a kept duplicate whose original is gone or changed becomes an entry with chunks of its own
     kept_original = index.select(F.col("relative_path").alias("duplicate_of"), F.lit(True).alias("there"))
     index = index.join(kept_original, "duplicate_of", "left")
     orphans = index.where("duplicate_of is not null and there is null").select("relative_path")
     moved = old["index"].join(orphans, "relative_path", "left_semi").select(F.col("duplicate_of").alias("from"), F.col("relative_path").alias("to"))
     own_refs = old["refs"].join(reused, "relative_path", "left_semi")
     moved_refs = old["refs"].join(moved, F.col("relative_path") == F.col("from")).select(F.col("to").alias("relative_path"), "ordinal", "chunk_hash", "start", "length")
-    index = index.join(orphans.withColumn("orphan", F.lit(True)), "relative_path", "left").withColumn("duplicate_of", F.when(F.col("orphan").isNull(), F.col("duplicate_of"))).select(fresh["index"].columns)
+    # such a copy takes over how its original was stored, which may be of another type
+    how = ["pre_encoding", "is_stored_raw", "chunks"]
+    source = old["index"].select(F.col("relative_path").alias("from"), *(F.col(c).alias(f"__{c}") for c in how))
+    index = index.join(moved.join(source, "from").drop("from").withColumnRenamed("to", "relative_path").withColumn("orphan", F.lit(True)), "relative_path", "left")
+    index = index.withColumns({c: F.when(F.col("orphan"), F.col(f"__{c}")).otherwise(F.col(c)) for c in how} | {"duplicate_of": F.when(F.col("orphan").isNull(), F.col("duplicate_of"))}).select(fresh["index"].columns)
     refs = own_refs.unionByName(moved_refs)
     fresh["index"].unionByName(index).write.parquet(f"{temp}/index")
     fresh["refs"].unionByName(refs).write.parquet(f"{temp}/refs")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import classify, delta, numbers, paths
 from .functions.hashing import unsigned, xxh3_64
 from .operators import chunks, codec, duplicates, integrity, listing, ordering, patterns, similarity, versions, windows
-from .plans import analyze as analyze_plan, patch
+from .plans import analyze as analyze_plan, package, patch
 from .sources import assets as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -589,6 +589,60 @@ def i1_i2_i3_zstd_round_trip(spark, d):
     return packed.select("relative_path", (codec.decompress("data", "dict_class", dicts) == F.col("content")).alias("same"))
 
 
+def _package(spark, d) -> str:
+    path = ordering.scratch(spark)
+    package.build(_assets(spark, d), path, cdc=CDC)
+    return path
+
+
+@query(_sql(_ASSETS, select="SELECT relative_path, hash_hex AS content_md5, true AS ok FROM assets"))
+def j2_b1_b2_package_round_trip(spark, d):
+    out = package.extract_all(package.open_package(spark, _package(spark, d)))
+    return out.select("relative_path", F.md5("content").alias("content_md5"), F.col("reason").isNull().alias("ok"))
+
+
+@query(_sql(_ASSETS, _CLUSTERS, select="SELECT relative_path, true AS ok FROM assets WHERE relative_path NOT IN (SELECT relative_path FROM dups)"))
+def j7_verify_package(spark, d):
+    return package.verify(package.open_package(spark, _package(spark, d))).select("relative_path", "ok")
+
+
+@query(_sql(_ASSETS, select="SELECT relative_path, md5(text) AS content_md5 FROM assets WHERE relative_path = 'en/src1/doc_21.obj'"))
+def b3_b4_b5_d9_extract_file(spark, d):
+    tables = package.open_package(spark, _package(spark, d))
+    path = "en/src1/doc_21.obj"
+    return package.extract_file(tables, path).select(F.lit(path).alias("relative_path"), F.md5("content").alias("content_md5"))
+
+
+@query(_sql(*(_VERSIONS, _versions_as("old_docs", "old_assets"), _versions_as("new_docs", "new_assets")), select="SELECT relative_path, hash_hex AS content_md5, true AS ok FROM new_assets"))
+def j3_b8_incremental_build(spark, d):
+    old, new = _old_new(spark, d)
+    first, second = ordering.scratch(spark), ordering.scratch(spark)
+    package.build(old, first, cdc=CDC)
+    package.build_incremental(new, first, second, cdc=CDC)
+    out = package.extract_all(package.open_package(spark, second))
+    return out.select("relative_path", F.md5("content").alias("content_md5"), F.col("reason").isNull().alias("ok"))
+
+
+@query("SELECT true AS signed, true AS wrong_key_refused, true AS change_found")
+def i10_i11_i12_signatures(spark, d):
+    """Sign a package, check it with another key, change it and check again."""
+    path, keys = _package(spark, d), integrity.Ed25519(spark)
+    private, public = keys.generate()
+    package.sign(spark, path, private, public)
+    signed = package.verify_signature(spark, path) == public
+
+    def refused(expected: bytes | None) -> bool:
+        try:
+            package.verify_signature(spark, path, expected)
+        except ValueError:
+            return True
+        return False
+
+    other = refused(keys.generate()[1])
+    package.open_package(spark, path)["refs"].limit(1).write.mode("append").parquet(f"{path}/refs")
+    return spark.createDataFrame([(signed, other, refused(None))], "signed boolean, wrong_key_refused boolean, change_found boolean")
+
+
 @query()
 def e14_codec_benchmark(spark, d):
     return codec.benchmark(_assets(spark, d), (3, 9))
