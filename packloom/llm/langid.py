@@ -21,6 +21,8 @@ LONGEST = 4
 #: N-grams of a profile, and of a document that are compared.
 PROFILE = 300
 UNKNOWN = "und"
+#: Tasks that rank the n-grams of one language before one of them joins the results.
+BUCKETS = 64
 
 
 def held_out(id_col: str) -> Column:
@@ -95,7 +97,9 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     """
     rows = labelled.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     sums = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
+    best = sums.withColumn("bucket", F.pmod("gram", F.lit(BUCKETS)))
+    for group in (["lang", "bucket"], ["lang"]):  # a common language's n-grams are ranked in many tasks first
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
     out: dict[str, np.ndarray] = {}
     for lang, part in best.toPandas().sort_values(["lang", "rank"]).groupby("lang"):
         out[lang] = part["gram"].to_numpy().astype(np.uint32)
