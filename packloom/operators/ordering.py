@@ -26,6 +26,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/packloom-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the source has fewer splits than there are cores, as a small table in one file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that a lost executor cannot change an assigned order."""
     _ensure_checkpoints(df.sparkSession)

@@ -84,7 +84,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return ordering.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _assets(spark: SparkSession, d: str) -> DataFrame:
