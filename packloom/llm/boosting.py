@@ -17,10 +17,15 @@ class Boosted:
         self.leaf: list[np.ndarray] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray, trees: int = 60, rate: float = 0.25, l2: float = 2.0, least: float = 4.0) -> Boosted:
+        """Level by level, by exact sums over bins; a feature of two values needs one sum, a matrix product."""
         n, width = x.shape
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]
-        bins = np.column_stack([np.searchsorted(cuts[f], x[:, f], "left") for f in range(width)])
-        flat = bins + np.arange(width) * BINS
+        low, high = x.min(0), x.max(0)
+        two = np.array([bool(((x[:, f] == low[f]) | (x[:, f] == high[f])).all()) for f in range(width)])
+        pairs, many = np.flatnonzero(two), np.flatnonzero(~two)
+        above = (x[:, pairs] > low[pairs]).astype(np.float32)
+        bins = np.column_stack([np.searchsorted(cuts[f], x[:, f], "left") for f in many]) if len(many) else np.zeros((n, 0), np.int64)
+        flat = bins + np.arange(len(many)) * BINS
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.bias = float(np.log(mean / (1 - mean)))
         z = np.full(n, self.bias)
@@ -29,26 +34,30 @@ class Boosted:
             p = 1 / (1 + np.exp(-z))
             g, h = y - p, p * (1 - p)
             feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
-            node = np.zeros(n, np.int64)
-            for k in range(inner):
-                rows = np.flatnonzero(node == k)
-                node[rows] = 2 * k + 1
-                if len(rows) < 2:
-                    continue
-                where = flat[rows].ravel()
-                sg = np.bincount(where, np.repeat(g[rows], width), BINS * width).reshape(width, BINS).cumsum(1)
-                sh = np.bincount(where, np.repeat(h[rows], width), BINS * width).reshape(width, BINS).cumsum(1)
-                left, right = sh, sh[:, -1:] - sh
-                gain = sg**2 / (left + l2) + (sg[:, -1:] - sg) ** 2 / (right + l2) - sg[:, -1:] ** 2 / (sh[:, -1:] + l2)
-                gain[(left < least) | (right < least)] = -1
-                f, b = divmod(int(gain.argmax()), BINS)
-                if gain[f, b] <= 1e-6 or b >= len(cuts[f]):
-                    continue
-                feature[k], cut[k] = f, cuts[f][b]
-                node[rows[bins[rows, f] > b]] = 2 * k + 2
-            leaf = node - inner
-            value = np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + l2) * rate
-            z += value[leaf]
+            place = np.zeros(n, np.int64)  # within the level
+            for level in range(self.depth):
+                nodes, first = 2**level, 2**level - 1
+                total = np.stack([np.bincount(place, v, nodes) for v in (g, h)])
+                spread = np.zeros((n, 2 * nodes), np.float32)
+                spread[np.arange(n), place], spread[np.arange(n), place + nodes] = g, h
+                up = (above.T @ spread).reshape(len(pairs), 2, nodes).transpose(1, 2, 0).astype(float)
+                left2 = total[:, :, None] - up  # (g and h, node, feature)
+                where = (flat + place[:, None] * (len(many) * BINS)).ravel()
+                size = nodes * len(many) * BINS
+                left = np.stack([np.bincount(where, np.repeat(v, len(many)), size).reshape(nodes, len(many), BINS).cumsum(2) for v in (g, h)])
+                sums = np.concatenate((left.reshape(2, nodes, -1), left2), 2)
+                rest = total[:, :, None] - sums
+                gain = sums[0] ** 2 / (sums[1] + l2) + rest[0] ** 2 / (rest[1] + l2) - (total[0] ** 2 / (total[1] + l2))[:, None]
+                gain[(sums[1] < least) | (rest[1] < least)] = -1
+                for k, best in enumerate(gain.argmax(1)):
+                    f, b = divmod(int(best), BINS) if best < len(many) * BINS else (None, int(best) - len(many) * BINS)
+                    if gain[k, best] <= 1e-6 or (f is not None and b >= len(cuts[many[f]])):
+                        continue
+                    feature[first + k] = many[f] if f is not None else pairs[b]
+                    cut[first + k] = cuts[many[f]][b] if f is not None else low[pairs[b]]
+                place = 2 * place + (x[np.arange(n), feature[first + place]] > cut[first + place])
+            value = np.bincount(place, g, inner + 1) / (np.bincount(place, h, inner + 1) + l2) * rate
+            z += value[place]
             self.feature.append(feature)
             self.cut.append(cut.astype(np.float32))
             self.leaf.append(value)
