@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.classify import codec_level, dict_class, pre_encoding, stored_raw
@@ -187,9 +188,14 @@ def build_incremental(assets: DataFrame, previous: str, path: str, settings: Set
     """Write a package that takes over unchanged files' chunks from ``previous``; returns the plan.
 
     Taken-over chunks keep their dictionaries, which are copied with them.
+    Where ``previous`` is missing or no package, everything is built anew.
     """
     spark = assets.sparkSession
-    old = open_package(spark, previous)
+    try:
+        old = open_package(spark, previous)
+    except (AnalysisException, ValueError):
+        build(assets, path, settings, cdc)
+        return assets.select("relative_path", "size", F.lit("recompress").alias("action"))
     plan = incremental_plan(assets, old["index"].select("relative_path", "size", F.col("content_hash").alias("hash_hex")))
     plan = plan.persist()
     temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}"

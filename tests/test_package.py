@@ -11,6 +11,7 @@ from packloom.functions.delta import decode_buffer, encode_buffer
 from packloom.operators.integrity import Ed25519
 from packloom.operators.windows import cut_points
 from packloom.plans import package, patch
+from packloom.sources import config
 from packloom.sources.assets import scan_assets
 
 CDC = (256, 1024, 4096)
@@ -109,6 +110,24 @@ def test_incremental(spark, tree, tmp_path, made):
     assert contents(package.extract_all(package.open_package(spark, str(tmp_path / "p2")))) == v2
 
 
+def test_incremental_without_previous(spark, tree, tmp_path, made):
+    plan = package.build_incremental(scan_assets(spark, tree({"a.bin": b"abc"})), str(tmp_path / "none"), str(tmp_path / "p"), cdc=CDC)
+    assert [r["action"] for r in plan.collect()] == ["recompress"]
+    assert contents(package.extract_all(package.open_package(spark, str(tmp_path / "p")))) == {"a.bin": b"abc"}
+
+
+def test_settings(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert config.load() == config.Settings()
+    (tmp_path / "packloom.toml").write_text("[compression]\ntexture_level = 12\nmesh_delta = false\nother = 1\n")
+    assert config.load() == config.Settings(texture_level=12, mesh_delta=False)
+    with pytest.raises(FileNotFoundError):
+        config.load(str(tmp_path / "missing.toml"))
+    (tmp_path / "bad.toml").write_text("[compression")
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "bad.toml"))
+
+
 def test_patch_moves_chunks(spark, tree, made):
     body = made["random"](3, 20_000)
     old = {"a.bin": body, "gone.bin": b"x", "same.bin": b"same"}
