@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
-from .staging import stage
+from .staging import Steps, stage
 from .shingles import WordHasher, band_keys, linked, min_max, parity_bits, permutations, shingle_set
 
 PERMUTATIONS = 120
@@ -120,46 +120,69 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    steps = Steps()
     features = stage(docs.mapInArrow(_features(words, permutations, band_rows), "id long, n long, d1 long, d2 long, keys array<long>"), "mh-features")
     solid = features.where("n > 0 and id is not null")
 
-    classes = stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")), "mh-classes")
+    classes = steps.stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")), "mh-classes")
     twins = classes.where("rep <> top").select("d1", "d2", "rep")
     copies = solid.select("id", "d1", "d2").join(twins, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    copies = stage(copies.distinct(), "mh-copies")
+    copies = steps.stage(copies.distinct(), "mh-copies")
 
     # Buckets of representatives only.
     alone = solid.join(copies.select(F.col("a").alias("id")), "id", "left_anti")
     rows = alone.select("id", "n", F.explode("keys").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
-    full = stage(full, "mh-full")
-    members = stage(rows.join(full, "key"), "mh-members")
-    ids = stage(members.select("id").distinct(), "mh-ids")
-    sets = stage(_within(docs, ids).mapInArrow(_sets(words), "id long, words binary, bits array<long>"), "mh-sets")
+    full = steps.stage(full, "mh-full")
+    members = steps.stage(rows.join(full, "key"), "mh-members")
+    ids = steps.stage(members.select("id").distinct(), "mh-ids")
+    sets = steps.stage(_within(docs, ids).mapInArrow(_sets(words), "id long, words binary, bits array<long>"), "mh-sets")
 
     # One comparison per member, with the most popular leader of its buckets.
-    popular = stage(members.groupBy("id").agg(F.sum("size").alias("fame")), "mh-fame")
-    known = stage(members.select("key", "id").join(popular, "id"), "mh-known")
-    leaders = stage(known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("top")).select("key", F.col("top.fame").alias("fame"), (-F.col("top.neg")).alias("leader")), "mh-leaders")
+    popular = steps.stage(members.groupBy("id").agg(F.sum("size").alias("fame")), "mh-fame")
+    known = steps.stage(members.select("key", "id").join(popular, "id"), "mh-known")
+    leaders = steps.stage(known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("top")).select("key", F.col("top.fame").alias("fame"), (-F.col("top.neg")).alias("leader")), "mh-leaders")
     led = known.select("key", "id").join(leaders, "key").where("id <> leader")
     best = led.groupBy("id").agg(F.max(F.struct("fame", (-F.col("leader")).alias("neg"))).alias("top")).select(F.col("id").alias("a"), (-F.col("top.neg")).alias("b"))
-    first = stage(_verified(stage(best, "mh-best"), sets, percent), "mh-first")
-    parts = stage(connected_components(first), "mh-parts")
+    first = steps.stage(_verified(steps.stage(best, "mh-best"), sets, percent), "mh-first")
+    parts = connected_components(first)
 
     # Buckets that still hold several components.
     part = F.coalesce("component_id", "id")
-    placed = stage(members.join(parts, "id", "left").select("key", "id", "n", "least", part.alias("part")), "mh-placed")
+    placed = steps.stage(members.join(parts, "id", "left").select("key", "id", "n", "least", part.alias("part")), "mh-placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    mixed = stage(mixed.join(leaders.select("key", "leader"), "key").join(parts.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
-    open_ = stage(placed.join(mixed, "key"), "mh-open")
-    open_ = stage(open_.join(sets.select("id", "bits"), "id"), "mh-bits")
+    mixed = steps.stage(mixed.join(leaders.select("key", "leader"), "key").join(parts.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
+    open_ = steps.stage(placed.join(mixed, "key"), "mh-open")
+    open_ = steps.stage(open_.join(sets.select("id", "bits"), "id"), "mh-bits")
     x = open_.where("part <> main").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"), F.col("bits").alias("abits"))
     y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"), F.col("bits").alias("bbits"), "main")
     new = (F.col("ap") != F.col("bp")) & ((F.col("bp") == F.col("main")) | (F.col("a") > F.col("b")))
     rest = x.join(y, "key").where(new & _fits("an", "bn", percent) & (_least_difference("abits", "bbits") * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = stage(_verified(stage(rest, "mh-rest"), sets, percent), "mh-second")
+    second = steps.stage(_verified(steps.stage(rest, "mh-rest"), sets, percent), "mh-second")
 
-    labels = stage(connected_components(copies.union(first).union(second)), "mh-labels")
+    labels = connected_components(copies.union(first).union(second))
+    steps.clear()
     out = features.select("id", "n").join(labels, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+#: DuckDB counterpart over ``documents`` for four words and 80 percent: all pairs with a common shingle, and all paths.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(l) >= 4 THEN list_transform(generate_series(1, len(l) - 3), lambda i: array_to_string(l[i:i + 3], ' '))
+                                           WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END)) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, t.b FROM reach r JOIN both_ways t ON r.b = t.a),
+low AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""

@@ -2,8 +2,9 @@
 
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir``
 names, which driver and executors share; a lost executor then costs a re-read,
-not a recomputation.  Only where that setting is absent (local tests) a
-temporary folder is used.
+not a recomputation.  Tables that a result still reads stay until the folder is
+cleaned.  Only where that setting is absent (local tests) a temporary folder is
+used.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the source has fewer splits than there are cores, as a small table in one file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` and return a DataFrame that reads the written table."""
     spark = df.sparkSession
@@ -43,3 +50,19 @@ def drop_staged(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+class Steps:
+    """Staged tables of one operator that are deleted once its results no longer read them."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+        self.made.append(stage(df, tag, codec))
+        return self.made[-1]
+
+    def clear(self) -> None:
+        for df in self.made:
+            drop_staged(df)
+        self.made = []
