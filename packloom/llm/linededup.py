@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .staging import stage
+from .staging import Steps, stage
 
 WINDOW = 3
 _LINE_END = re.compile(r"[.!?][ \t]+|\n")
@@ -104,11 +104,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = df.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string"))
     kind = base.schema[id_col].dataType.simpleString()
     texts = base.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), text_col)
-    windows = stage(texts.mapInArrow(_windows, f"h long, id {kind}, at int, again boolean"), "line-windows")
+    steps = Steps()
+    windows = steps.stage(texts.mapInArrow(_windows, f"h long, id {kind}, at int, again boolean"), "line-windows")
     seen = windows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("again").alias("repeats"))
-    repeated = stage(seen.where("first <> last or repeats").select("h", "first"), "line-repeated")
+    repeated = steps.stage(seen.where("first <> last or repeats").select("h", "first"), "line-repeated")
     later = windows.join(repeated, "h").where("id <> first or again")
     gone = stage(later.groupBy("id").agg(F.collect_set("at").alias("__gone")), "line-gone")
+    steps.clear()
     joined = base.join(gone.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     return joined.mapInArrow(_rewrite(base.columns, text_col), schema + ", n_lines long, n_removed long")
