@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .staging import stage
+from .staging import Steps, stage
 
 #: Leading axes of the grid and of the boxes.
 AXES = 8
@@ -188,12 +188,13 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
     dim = max(dim, 1)
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
+    steps = Steps()
     units = stage(rows.mapInArrow(_units(dim), "id long, d1 long, d2 long, u binary"), "ego-units")
     solid = units.where("u is not null and id is not null")
-    classes = stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "ego-classes")
+    classes = steps.stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "ego-classes")
     copies = solid.select("id", "d1", "d2").join(classes.where("w > 1"), ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    copies = stage(copies, "ego-copies")
-    single = stage(solid.select("id", "u").join(classes.select(F.col("rep").alias("id"), "w"), "id").dropDuplicates(["id"]), "ego-single")
+    copies = steps.stage(copies, "ego-copies")
+    single = steps.stage(solid.select("id", "u").join(classes.select(F.col("rep").alias("id"), "w"), "id").dropDuplicates(["id"]), "ego-single")
 
     sample = [r["u"] for r in single.orderBy(F.xxhash64("id"), "id").select("u").limit(AXES_SAMPLE).collect()]
     m = _matrix(sample, dim) if sample else np.zeros((1, dim))
@@ -204,7 +205,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     gridded = single.mapInArrow(_on_grid(np.pad(axes, ((0, 0), (0, max(0, GRID_AXES - dim)))), eps), "id long, u binary, w long, " + ", ".join(f"c{k} long" for k in range(GRID_AXES)) + ", p double")
     order = [*(f"c{k}" for k in range(grid_axes)), "p", "id"]
     spread = max(1, math.ceil(single.count() / size))
-    intervals = stage(gridded.repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(_intervals(axes, size), "i long, ids binary, w binary, m binary, low array<double>, high array<double>"), "ego-intervals")
+    intervals = steps.stage(gridded.repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(_intervals(axes, size), "i long, ids binary, w binary, m binary, low array<double>, high array<double>"), "ego-intervals")
 
     # Pairs of intervals whose boxes come within eps, by neighbouring cells of the first axis.
     boxes = intervals.select("i", "low", "high")
@@ -213,15 +214,32 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     right = boxes.select(F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x * x)
     tiles = left.join(right, "cell").where((F.col("i") <= F.col("j")) & (gap <= eps * eps + SLACK)).select("i", "j").distinct()
-    tiles = stage(tiles, "ego-tiles")
+    tiles = steps.stage(tiles, "ego-tiles")
     body = intervals.select(F.col("i").alias("k"), "ids", "w", "m")
     first = tiles.join(body, tiles.i == body.k).select("i", "j", F.lit(0).alias("side"), "ids", "w", "m")
     second = tiles.where("i < j").join(body, F.col("j") == body.k).select("i", "j", F.lit(1).alias("side"), "ids", "w", "m")
-    found = stage(first.union(second).groupBy("i", "j").applyInArrow(_join_tile(axes, cosine, eps), "id long, links long, root long"), "ego-found")
+    found = steps.stage(first.union(second).groupBy("i", "j").applyInArrow(_join_tile(axes, cosine, eps), "id long, links long, root long"), "ego-found")
 
-    labels = stage(connected_components(copies.union(found.select(F.col("id").alias("a"), F.col("root").alias("b")))), "ego-labels")
+    labels = connected_components(copies.union(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = stage(classes.join(sums.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "ego-class-links")
+    steps.clear()
     out = units.select("id", "d1", "d2").join(per_class, ["d1", "d2"], "left").join(labels, "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+#: DuckDB counterpart over ``embeddings`` for a cosine of 0.9: every pair, and all paths.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS l FROM v),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND list_inner_product(p.x, q.x) / (p.l * q.l) >= 0.9),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, t.b FROM reach r JOIN e t ON r.b = t.a),
+low AS (SELECT a AS vec_id, min(b) AS b FROM reach GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN k USING (vec_id) LEFT JOIN low USING (vec_id)
+"""

@@ -7,17 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, htmltext, linededup, toxicity
+from . import chat, gridorder, htmltext, linededup, minhash, toxicity
 from .bpe import encode_and_decode
 from .gridorder import near_duplicate_vectors
 from .jpeg import media_columns
 from .langid import learn_and_identify
 from .minhash import near_duplicates
 from .packing import pack
+from .staging import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB counterparts, where SQL can state the result.
 ORACLES: dict[str, str] = {
+    "op2_minhash_dedup": minhash.SQL,
     "op3_perspective_chat": chat.SQL,
     "op5_line_windows": linededup.SQL,
+    "op7_grid_order_join": gridorder.SQL,
 }

@@ -174,3 +174,16 @@ def test_perspectives(spark):
     con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
     assert Counter(map(tuple, out)) == Counter(con.execute(chat.SQL).fetchall())
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op3_perspective_chat", "op5_line_windows", "op7_grid_order_join"])
+def test_queries_equal_sql(spark, name):
+    from packloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    expected = con.sql(queries.ORACLES[name])
+    found = queries.QUERIES[name](spark, folder).select(expected.columns)
+    assert Counter(map(tuple, found.collect())) == Counter(expected.fetchall())
