@@ -14,8 +14,6 @@ from packloom.llm import langid, linededup, packing, toxicity
 from packloom.llm.minhash import near_duplicates
 from packloom.llm.staging import stage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows whose id has a verdict of true; of a null id, all."""
@@ -30,12 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without one n-gram of any learned language, go; ``lang`` becomes the prediction."""
+    """Documents without a letter, or without one n-gram of any learned language, go."""
     found = langid.learn_and_identify(docs)
-    wrong = stage(found.where("doc_id is not null").select("doc_id", "lang_pred", "distance"), "pipeline-languages")
-    named = docs.join(wrong.dropDuplicates(["doc_id"]), "doc_id", "left")
-    kept = named.where(F.coalesce((F.col("lang_pred") != langid.UNKNOWN) & (F.col("distance") < 1), F.lit(True)))
-    return kept.withColumn("lang", F.coalesce("lang_pred", "lang")).select(docs.columns)
+    return _keep(docs, found.select("doc_id", ((F.col("lang_pred") != langid.UNKNOWN) & (F.col("distance") < 1)).alias("keep")))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
