@@ -28,6 +28,8 @@ END = "</w>"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words whose encodings a worker remembers at once.
 CACHE_WORDS = 400_000
+#: Pairs of tokens whose compatibility it remembers.
+CACHE_PAIRS = 1_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -71,6 +73,7 @@ class PrefixBPE:
             self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[int, bool] = {}  # compatibility of token pairs
 
     def _symbols(self, token: str) -> str:
         body = token.removesuffix(END)
@@ -123,14 +126,21 @@ class PrefixBPE:
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
         s = raw[:-1].decode("latin-1") + chr(raw[-1] + 256)
-        last: list[int | None] = [None] * (len(s) + 1)
-        start = [0] * (len(s) + 1)
+        last, start, known = [-1] * (len(s) + 1), [0] * (len(s) + 1), self.known
+        if len(known) > CACHE_PAIRS:
+            known.clear()
         for end, (token, size) in self.automaton.iter(s):
             end += 1
-            if last[end] is None:
+            if last[end] < 0:
                 k = end - size
-                if k == 0 or (last[k] is not None and self.compatible(last[k], token)):
-                    last[end], start[end] = token, k
+                if k:
+                    pair = last[k] << 32 | token
+                    fits = known.get(pair)
+                    if fits is None:
+                        fits = known[pair] = last[k] >= 0 and self.compatible(last[k], token)
+                    if not fits:
+                        continue
+                last[end], start[end] = token, k
         out, k = [], len(s)
         while k:
             out.append(last[k])
