@@ -71,12 +71,8 @@ def service_order(shares: np.ndarray) -> list[np.ndarray]:
     first = np.concatenate(([0], np.cumsum(shares)[:-1]))
     turn = np.arange(len(queue)) - first[queue]
     due = (2 * turn + 1) / (2.0 * shares[queue])
-    order = np.lexsort((queue, due))
-    slots = [[] for _ in shares]
-    served = queue[order]
-    for q in range(len(shares)):
-        slots[q] = np.flatnonzero(served == q)
-    return slots
+    served = queue[np.lexsort((queue, due))]
+    return np.split(np.argsort(served, kind="stable"), np.cumsum(shares)[:-1])
 
 
 def _to_period(weights: np.ndarray) -> np.ndarray:
