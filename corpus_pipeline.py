@@ -35,7 +35,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages go; so do documents that consisted of nothing else."""
-    out = linededup.remove_repeats(docs)
+    out = linededup.remove_repeats(docs, within_lines=True)
     out = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

@@ -6,6 +6,13 @@ a window; a text of fewer lines is one window.  A window's first occurrence, by
 id and position, stays; lines covered by any later occurrence go, overlapping
 windows merging into longer passages.
 
+A passage in running text may hold few whole lines or none.  For these, words
+are cut by content as well (the least hash of every ``SPAN`` words begins a
+piece), and pieces of ``LEAST_WORDS`` to ``LEAST_WORDS + SPAN - 1`` words in a
+row are windows of their own.  Cuts depend on at most ``SPAN - 1`` words to
+either side, so every passage of ``LEAST_WORDS + 4 * SPAN - 3`` (49) words holds
+such a window wherever it stands.
+
 Windows are shuffled as (64-bit hash, id, position), summed by hash before the
 shuffle; texts meet the positions to remove once, by id.
 """
@@ -20,11 +27,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .shingles import WordHasher, _finish
 from .staging import Steps, stage
 
 WINDOW = 3
+#: Words among which one begins a piece, and the least words of a window of pieces.
+SPAN, LEAST_WORDS = 8, 20
 _LINE_END = re.compile(r"[.!?][ \t]+|\n")
 _SPACE = " \t\n\r"
+_WORD = re.compile(r"\S+")
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def lines(text: str) -> list[str]:
@@ -68,29 +81,94 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row[whole])), pa.array(at[whole].astype(np.int32)), pa.array(same)], ["h", "id", "at", "again"])
 
 
+def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows of pieces, ascending, and the words after their last; ``h`` hashes a text's words."""
+    if len(h) < SPAN:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    n = len(h) - SPAN + 1
+    best, least = np.zeros(n, np.int64), h[:n].copy()
+    for k in range(1, SPAN):
+        here = h[k : k + n] <= least
+        best[here], least[here] = k, h[k : k + n][here]
+    begins = best + np.arange(n)
+    begins = begins[np.concatenate(([True], begins[1:] != begins[:-1]))]
+    at = np.searchsorted(begins, begins + LEAST_WORDS)
+    whole = at < len(begins)
+    return begins[whole], begins[at[whole]]
+
+
+def _word_hashes(words: list[str], hasher: WordHasher) -> np.ndarray:
+    return np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _piece_windows(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[pa.RecordBatch]:
+    """As :func:`_windows`; ``at`` is -1 less the first word."""
+    for row, x in enumerate(batch.column(1)):
+        h = _finish(_word_hashes(x.as_py().split(), hasher))
+        first, after = pieces(h)
+        if not len(first):
+            continue
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)))
+        key = _finish((sums[after] - sums[first]) * _powers(_BACK, len(h))[first] + (after - first).astype(np.uint64))
+        _, earliest = np.unique(key, return_index=True)
+        again = np.ones(len(key), bool)
+        again[earliest] = False
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array([row] * len(key), pa.int64())), pa.array((-1 - first).astype(np.int32)), pa.array(again)], ["h", "id", "at", "again"])
+
+
+def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher()
+    for batch in batches:
+        yield from _windows(iter([batch]))
+        made = list(_piece_windows(batch, hasher))
+        if made:
+            yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+
+
+def _without(text: str, gone: list[int], hasher: WordHasher) -> tuple[str, int]:
+    """What is left of a text, and how many lines lost something."""
+    ends = np.cumsum([0, *map(len, lines(text))])
+    last = len(ends) - 1
+    spans = [(ends[at], ends[min(at + WINDOW, last)]) for at in gone if at >= 0]
+    if any(at < 0 for at in gone):
+        words = [m.start() for m in _WORD.finditer(text)]
+        first, after = pieces(_finish(_word_hashes(text.split(), hasher)))
+        until = dict(zip(first.tolist(), after.tolist(), strict=True))
+        spans += [(words[-1 - at], words[until[-1 - at]]) for at in gone if at < 0]
+    kept, at, touched = [], 0, set()
+    for begin, end in sorted(spans):
+        kept.append(text[at:begin] if begin > at else "")
+        if end > at:
+            touched.update(range(int(np.searchsorted(ends, max(begin, at), "right")) - 1, int(np.searchsorted(ends, end))))
+            at = end
+    return "".join(kept) + text[at:], len(touched)
+
+
 def _rewrite(names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in batches:
             texts, counts, removed = [], [], []
             for x, gone in zip(batch.column(text_col), batch.column("__gone").to_pylist(), strict=True):
-                text = x.as_py()
-                parts = lines(text) if text else []
-                counts.append(len(parts))
+                text, n = x.as_py(), 0
+                counts.append(len(lines(text)) if text else 0)
                 if gone:
-                    drop = {i for at in gone for i in range(at, at + WINDOW)}
-                    kept = [line for i, line in enumerate(parts) if i not in drop]
-                    text = "".join(kept)
-                    removed.append(len(parts) - len(kept))
-                else:
-                    removed.append(0)
+                    text, n = _without(text, gone, hasher)
                 texts.append(text)
+                removed.append(n)
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, within_lines: bool = False) -> DataFrame:
     """``df`` with repeated passages removed from ``text_col``, and ``n_lines``, ``n_removed``.
 
     Null and empty texts have no window and stay as they are; blank lines count
@@ -100,12 +178,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at a position.  An empty table gives no rows.  Columns ``n_lines`` and
     ``n_removed`` are replaced if present, other columns stay.  Windows are
     compared by 64-bit hash.
+
+    ``within_lines`` also removes later copies of passages of 49 words or more
+    that hold fewer than three whole lines, but for some words at their ends;
+    lines that lose only words count as removed.
     """
     base = df.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string"))
     kind = base.schema[id_col].dataType.simpleString()
     texts = base.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), text_col)
     steps = Steps()
-    windows = steps.stage(texts.mapInArrow(_windows, f"h long, id {kind}, at int, again boolean"), "line-windows")
+    windows = steps.stage(texts.mapInArrow(_all_windows if within_lines else _windows, f"h long, id {kind}, at int, again boolean"), "line-windows")
     seen = windows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("again").alias("repeats"))
     repeated = steps.stage(seen.where("first <> last or repeats").select("h", "first"), "line-repeated")
     later = windows.join(repeated, "h").where("id <> first or again")
@@ -116,7 +198,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(_rewrite(base.columns, text_col), schema + ", n_lines long, n_removed long")
 
 
-#: DuckDB counterpart over ``documents``, for ids that are unique.
+#: DuckDB counterpart over ``documents``, for ids that are unique, of windows of whole lines.
 SQL = """
 WITH cut AS (
   SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(rtrim(regexp_replace(text, '([.!?][ \\t]+|\\n)', '\\1' || chr(30), 'g'), chr(30)), chr(30)) END AS parts, text

@@ -187,3 +187,22 @@ def test_queries_equal_sql(spark, name):
     expected = con.sql(queries.ORACLES[name])
     found = queries.QUERIES[name](spark, folder).select(expected.columns)
     assert Counter(map(tuple, found.collect())) == Counter(expected.fetchall())
+
+
+def test_passages_within_lines(spark):
+    """A passage of 51 words in one sentence, spliced into other running text, is found wherever it stands."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passages = [words(51) for _ in range(60)]
+    rows = []
+    for k, p in enumerate(passages):
+        for copy in range(2):
+            rows.append((100 * copy + k, " ".join(words(rng.randint(1, 40)) + p + words(rng.randint(1, 40))) + "."))
+    df = spark.createDataFrame(rows, DOCS)
+    assert linededup.remove_repeats(df).where("n_removed > 0").count() == 0
+    found = {r["doc_id"]: r for r in linededup.remove_repeats(df, within_lines=True).collect()}
+    for k, p in enumerate(passages):
+        assert found[k]["text"] == rows[2 * k][1] and found[k]["n_removed"] == 0
+        later = found[100 + k]["text"].split()
+        assert found[100 + k]["n_removed"] == 1 and sum(w in later for w in p) <= 31
+        assert all(w in later for w in rows[2 * k + 1][1].split() if w not in p)
