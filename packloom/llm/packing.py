@@ -9,7 +9,11 @@ arithmetic and any task can place any document without state from another one:
 that is how deficits carry across partitions.  When a queue runs dry a new phase
 begins, in which the others divide its slots by their shares.
 
-The only global state is one token count per queue and per (partition, queue).
+Above ``MAX_QUEUES`` sources the same schedule runs twice: queues of several
+sources are served by the sum of their shares, and what a queue is served is
+dealt to its sources by theirs.
+
+The only global state is one token count per source and per (partition, source).
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from .staging import stage
 
 #: Slots after which the service order repeats: 64 windows of 1024.
 PERIOD = 65_536
-#: More sources than this share this many queues by hash, so that one window can serve them all.
+#: More sources than this share this many queues, in each of which a second schedule serves them.
 MAX_QUEUES = 256
+#: Slots of a second schedule's period: so many, or so many for each of its sources if those are more.
+INNER_PERIOD, INNER_SLOTS = 8_192, 16
 #: The split pattern of the byte-level vocabulary (a fixed value of that format).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -75,11 +81,11 @@ def service_order(shares: np.ndarray) -> list[np.ndarray]:
     return np.split(np.argsort(served, kind="stable"), np.cumsum(shares)[:-1])
 
 
-def _to_period(weights: np.ndarray) -> np.ndarray:
+def _to_period(weights: np.ndarray, period: int = PERIOD) -> np.ndarray:
     """Integer shares of a period, at least one for each queue, by largest remainder."""
-    exact = weights / weights.sum() * (PERIOD - len(weights))
+    exact = weights / weights.sum() * (period - len(weights))
     shares = np.floor(exact).astype(np.int64)
-    short = PERIOD - len(weights) - int(shares.sum())
+    short = period - len(weights) - int(shares.sum())
     shares[np.argsort(-(exact - shares), kind="stable")[:short]] += 1
     return shares + 1
 
@@ -87,11 +93,11 @@ def _to_period(weights: np.ndarray) -> np.ndarray:
 class Schedule:
     """Slots of every token of every queue, by phases between which queues run dry."""
 
-    def __init__(self, totals: list[int], weights: list[float]):
-        self.totals, self.phases = totals, []
+    def __init__(self, totals: list[int], weights: list[float], period: int = PERIOD):
+        self.totals, self.period, self.phases = totals, period, []
         served, start = [0] * len(totals), 0
         while active := [q for q, t in enumerate(totals) if served[q] < t]:
-            shares = _to_period(np.array([weights[q] for q in active], float))
+            shares = _to_period(np.array([weights[q] for q in active], float), period)
             slots = dict(zip(active, service_order(shares), strict=True))
             ends = [self._slot(slots[q], totals[q] - served[q] - 1) + 1 for q in active]
             length = min(ends)
@@ -101,24 +107,26 @@ class Schedule:
             start += length
         self.length = start
 
-    @staticmethod
-    def _slot(slots, j):
-        return j // len(slots) * PERIOD + slots[j % len(slots)]
+    def _slot(self, slots, j):
+        return j // len(slots) * self.period + slots[j % len(slots)]
 
-    @staticmethod
-    def _count(slots, length):
+    def _count(self, slots, length):
         """Tokens of the queue in the first ``length`` slots."""
-        return length // PERIOD * len(slots) + np.searchsorted(slots, length % PERIOD)
+        return length // self.period * len(slots) + np.searchsorted(slots, length % self.period)
 
     def slots_of(self, q: int, begin: int, end: int) -> np.ndarray:
         """Slots of the queue's tokens begin..end-1."""
+        return self.slots_at(q, np.arange(begin, end))
+
+    def slots_at(self, q: int, tokens: np.ndarray) -> np.ndarray:
+        """Slots of some of the queue's tokens, ascending."""
         out = []
         for start, length, first, slots in self.phases:
             if q in first:
                 last = first[q] + int(self._count(slots[q], length))
-                low, high = max(begin, first[q]), min(end, last)
+                low, high = np.searchsorted(tokens, (first[q], last))
                 if low < high:
-                    out.append(start + self._slot(slots[q], np.arange(low - first[q], high - first[q])))
+                    out.append(start + self._slot(slots[q], tokens[low:high] - first[q]))
         return np.concatenate(out) if len(out) != 1 else out[0]
 
     def served_before(self, q: int, slots: np.ndarray) -> np.ndarray:
@@ -129,10 +137,59 @@ class Schedule:
                 total += self._count(table[q], np.clip(slots - start, 0, length))
         return total
 
+    def shifts(self, queues: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What makes a token's number in its queue its place among the slots low..high-1 of window ``at``, for pieces of ``queues``.
+
+        These slots hold the queues in order, each queue's tokens in its own order.
+        """
+        out, ahead = np.zeros(len(queues), np.int64), np.zeros(len(low), np.int64)
+        for q in range(len(self.totals)):
+            before = self.served_before(q, low)
+            mine = queues == q
+            out[mine] = (ahead - before)[at[mine]]
+            ahead += self.served_before(q, high) - before
+        return out
+
+
+class GroupedSchedule:
+    """A :class:`Schedule` of queues of several sources; what a queue is served goes to its sources by a schedule of its own.
+
+    Sources are numbered queue by queue; ``first`` has the number of each queue's first one.
+    """
+
+    def __init__(self, totals: list[int], weights: list[float], first: list[int]):
+        self.first = np.array(first)
+        self.parts = [(totals[a:b], weights[a:b]) for a, b in zip(first, [*first[1:], len(totals)], strict=True)]
+        self.outer = Schedule([sum(t) for t, _ in self.parts], [sum(w) for _, w in self.parts])
+        self.inner = lru_cache(8)(self._inner)
+
+    def _inner(self, g: int) -> Schedule:
+        totals, weights = self.parts[g]
+        return Schedule(totals, weights, max(INNER_PERIOD, INNER_SLOTS * len(totals)))
 
-def _place(totals: list[int], weights: list[float], names: list[str], length: int):
+    def _group(self, q):
+        return np.searchsorted(self.first, q, "right") - 1
+
+    def slots_of(self, q: int, begin: int, end: int) -> np.ndarray:
+        g = int(self._group(q))
+        return self.outer.slots_at(g, self.inner(g).slots_of(q - int(self.first[g]), begin, end))
+
+    def shifts(self, queues: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, ahead, groups = np.zeros(len(queues), np.int64), np.zeros(len(low), np.int64), self._group(queues)
+        for g, begin in enumerate(self.first):
+            before, after = self.outer.served_before(g, low), self.outer.served_before(g, high)
+            mine = np.flatnonzero(groups == g)
+            if len(mine):
+                windows, back = np.unique(at[mine], return_inverse=True)
+                out[mine] = ahead[at[mine]] + self.inner(g).shifts(queues[mine] - begin, before[windows], after[windows], back)
+            ahead += after - before
+        return out
+
+
+def _place(totals: list[int], weights: list[float], names: list[str], first_of: list[int] | None, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, index = Schedule(totals, weights), {n: q for q, n in enumerate(names)}
+        plan = GroupedSchedule(totals, weights, first_of) if first_of else Schedule(totals, weights)
+        index = {n: q for q, n in enumerate(names)}
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 rows = batch.slice(begin, 500)
@@ -148,16 +205,10 @@ def _place(totals: list[int], weights: list[float], names: list[str], length: in
                 in_doc = cut - (np.cumsum(sizes) - sizes)[piece_row]
                 # A window holds its queues in order of name, each queue's tokens in its own order.
                 windows, back = np.unique(piece_window, return_inverse=True)
-                offset = first[piece_row] + in_doc
-                ahead = np.zeros(len(windows), np.int64)
-                for q in range(len(names)):
-                    low = plan.served_before(q, windows * length)
-                    mine = queues[piece_row] == q
-                    offset[mine] += (ahead - low)[back[mine]]
-                    ahead += plan.served_before(q, (windows + 1) * length) - low
+                offset = first[piece_row] + in_doc + plan.shifts(queues[piece_row], windows * length, (windows + 1) * length, back)
                 flat = np.concatenate(ids).astype("<u4")
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.append(cut, len(flat)).astype(np.int32) * np.int32(4)), pa.py_buffer(flat)])
-                columns = [rows.column("id").take(pa.array(piece_row)), pa.array(in_doc), pa.array(ends - cut), data, pa.array(sizes[piece_row]), pa.array(piece_window), pa.array(offset), rows.column("queue").take(pa.array(piece_row))]
+                columns = [rows.column("id").take(pa.array(piece_row)), pa.array(in_doc), pa.array(ends - cut), data, pa.array(sizes[piece_row]), pa.array(piece_window), pa.array(offset), rows.column("label").take(pa.array(piece_row))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"])
 
     return run
@@ -169,6 +220,11 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     A document is its ids and then ``end_id``.  ``shares`` gives each source's
     part of a window (a source not named there weighs as the smallest named);
     by default the sources' parts of the corpus, so that all last until the end.
+    A window holds each source's part within two tokens until a source runs dry,
+    whose slots then go to the others.  More than ``MAX_QUEUES`` sources are dealt
+    to as many queues, ``queue`` being a queue's number: parts then hold within
+    four tokens, and slots of a source that runs dry go to the others of its queue
+    first.  One count a source reaches the driver and the tasks.
     All sequences are full but the last one.  Null and empty texts are the end
     id alone; a null source is the queue ''.  Null and repeated ids are kept as
     rows of their own.  An empty table gives no rows; other columns are ignored.
@@ -179,20 +235,20 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema["id"].dataType.simpleString()
     tokens = stage(docs.mapInArrow(_token_queues(path, end_id), f"id {kind}, queue string, part int, before long, tokens long, ids binary"), "pack-tokens", "zstd")
     cells = stage(tokens.groupBy("part", "queue").agg(F.sum("tokens").alias("tokens")), "pack-cells")
-    if cells.select("queue").distinct().count() > MAX_QUEUES:
-        group = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-        shares = None
-    else:
-        group = F.col("queue")
-    ahead = Window.partitionBy("group").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("group", group).withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
-    sums = cells.groupBy("group").agg(F.sum("tokens").alias("n")).orderBy("group").limit(MAX_QUEUES).collect()
-    names, totals = [r["group"] for r in sums], [r["n"] for r in sums]
+    many = cells.select("queue").distinct().count() > MAX_QUEUES
+    label = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string") if many else F.col("queue")
+    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("label", label).withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
+    sums = cells.groupBy("label", "queue").agg(F.sum("tokens").alias("n")).orderBy("label", "queue").collect()
+    names, totals = [r["queue"] for r in sums], [r["n"] for r in sums]
+    first_of = [q for q, r in enumerate(sums) if not q or sums[q - 1]["label"] != r["label"]] if many else None
     if shares and names:
         least = min(v for v in shares.values() if v > 0)
         weights = [max(shares.get(n, least), least / 1e6) for n in names]
     else:
         weights = [float(t) for t in totals]
-    placed = tokens.join(cells.select("part", "queue", "group", "base"), ["part", "queue"]).select("id", F.col("group").alias("queue"), (F.col("base") + F.col("before")).alias("first"), "tokens", "ids")
-    out = placed.mapInArrow(_place(totals, weights, names, length), f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
+    placed = tokens.join(cells.select("part", "queue", "label", "base"), ["part", "queue"]).select("id", "queue", "label", (F.col("base") + F.col("before")).alias("first"), "tokens", "ids")
+    if many:  # a task then makes each second schedule once
+        placed = placed.sortWithinPartitions("label")
+    out = placed.mapInArrow(_place(totals, weights, names, first_of, length), f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
     return out.withColumnRenamed("id", id_col)

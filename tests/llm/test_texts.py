@@ -7,6 +7,7 @@ import zlib
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -213,3 +214,31 @@ def test_toxicity(spark):
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("shares", [None, {"s1": 0.5, "s2": 0.25, "s3": 0.01}])
+def test_packing_many_sources(spark, monkeypatch, shares):
+    """More sources than queues: windows keep every source's share, given ones too, and all tokens."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    rows = [(100 * k + i, "some words here " * (40 * k if shares is None else 400), f"s{k}") for k in range(1, 9) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = packing.pack(df, BYTES, shares=shares).toPandas()
+    library = Tokenizer.from_file(BYTES)
+    for doc_id, text, _ in rows:
+        g = found[found["doc_id"] == doc_id].sort_values("start")
+        assert np.frombuffer(b"".join(g["ids"]), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+    for _, g in found.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]]
+    assert (found.groupby("sequence_id")["length"].sum().iloc[:-1] == 1024).all()
+    found["source"] = found["doc_id"] // 100
+    counts = found.groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
+    part = found.groupby("source")["length"].sum() if shares is None else pd.Series({k: shares.get(f"s{k}", 0.01) for k in range(1, 9)})
+    whole = counts.iloc[1:-3] if shares is None else counts.iloc[:4]
+    assert len(whole) > 2 and (abs(whole - 1024 * part / part.sum()) <= 4).all().all()
+
+
+def test_grouped_schedule_uses_every_slot_once():
+    totals, weights = [37, 400, 3, 160, 90, 10], [1.0, 4.0, 3.0, 1.0, 9.0, 2.0]
+    plan = packing.GroupedSchedule(totals, weights, [0, 2, 5])
+    slots = [plan.slots_of(q, 0, t).tolist() for q, t in enumerate(totals)]
+    assert sorted(s for x in slots for s in x) == list(range(700)) and all(x == sorted(x) for x in slots)
