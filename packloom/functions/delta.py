@@ -1,15 +1,17 @@
 """Delta coding of 32-bit words and of vertex buffers.
 
-Arrays stay in the JVM; whole byte strings go through numpy in Arrow batches.
+Vertices and differences stay in the JVM; running sums of words and whole byte
+strings go through numpy in Arrow batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 WORD = 4294967296
 SCALE = 1024
@@ -20,15 +22,17 @@ def encode_words(words: Column) -> Column:
     return F.transform(words, lambda x, i: F.pmod(x - F.coalesce(F.get(words, i - 1), F.lit(0)), F.lit(WORD)))
 
 
-def decode_words(deltas: Column) -> Column:
-    """Running sums modulo 2^32; one pass over the array."""
-    start = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        acc = F.pmod(s["acc"] + x, F.lit(WORD))
-        return F.struct(acc.alias("acc"), F.concat(s["out"], F.array(acc)).alias("out"))
-
-    return F.aggregate(deltas, start, step, lambda s: s["out"])
+@arrow_udf(ArrayType(LongType()))
+def decode_words(deltas: pa.Array) -> pa.Array:
+    """Running sums modulo 2^32, in time linear in the words; null from a null on."""
+    sizes = np.array([0 if x is None else x for x in pc.list_value_length(deltas).to_pylist()], np.int64)
+    flat = deltas.flatten()
+    begins = np.cumsum(sizes) - sizes
+    run = lambda x: (np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype))))
+    sums, holes = run(flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)), run(np.asarray(flat.is_null()).astype(np.int64))
+    out = (sums[1:] - np.repeat(sums[begins], sizes)) & np.uint64(WORD - 1)
+    gone = holes[1:] > np.repeat(holes[begins], sizes)
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(flat)).astype(np.int32)), pa.array(out.astype(np.int64), mask=gone), mask=deltas.is_null())
 
 
 def quantise(vertices: Column) -> Column:

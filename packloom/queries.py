@@ -219,13 +219,14 @@ def c5_c6_c7_c20_choices(spark, d):
 _WORDS_SQL = "SELECT doc_id, list_transform(generate_series(0, least(64, CAST(size // 4 AS BIGINT)) - 1), lambda i: CAST(('0x' || substr(hx, CAST(i * 8 + 7 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 5 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 3 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 1 AS BIGINT), 2)) AS BIGINT)) AS w FROM assets"
 
 
-def _words(spark, d):
-    """The first 64 little-endian words of each file."""
+def _words(spark, d, most: int | None = 64):
+    """The little-endian words of each file, by default the first 64, and the bytes after the last whole word."""
     a = _assets(spark, d).withColumn("doc_id", F.regexp_extract("relative_path", r"doc_(\d+)", 1).cast("long"))
-    n = F.least(F.lit(64), F.floor(F.octet_length("content") / 4)).cast("int")
+    whole = F.floor(F.octet_length("content") / 4).cast("int")
+    n = whole if most is None else F.least(F.lit(most), whole)
     at = lambda i, k: F.substring(F.hex(F.substring(F.col("content"), i * 4 + 1, F.lit(4))), 2 * k + 1, 2)
     words = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.concat(at(i, 3), at(i, 2), at(i, 1), at(i, 0)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return a.select("doc_id", words.alias("w"))
+    return a.select("doc_id", words.alias("w"), F.hex(F.substring(F.col("content"), whole * 4 + 1, F.lit(3))).alias("tail"))
 
 
 @query(_sql(_ASSETS, f"words AS ({_WORDS_SQL})", select="SELECT doc_id, array_to_string(list_transform(w, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE w[i - 1] END + 4294967296) % 4294967296), ',') AS deltas FROM words"))
@@ -239,6 +240,21 @@ def c9_delta_decode_words(spark, d):
     return coded.select("doc_id", F.concat_ws(",", delta.decode_words(F.col("c")).cast("array<string>")).alias("words"))
 
 
+_ALL_WORDS_SQL = "SELECT doc_id, substr(hx, CAST(size // 4 * 8 + 1 AS BIGINT), 6) AS tail, list_transform(generate_series(0, CAST(size // 4 AS BIGINT) - 1), lambda i: CAST(('0x' || substr(hx, CAST(i * 8 + 7 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 5 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 3 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 1 AS BIGINT), 2)) AS BIGINT)) AS w FROM assets"
+
+
+@query(_sql(_ASSETS, f"words AS ({_ALL_WORDS_SQL})", select="SELECT doc_id, array_to_string(list_transform(w, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE w[i - 1] END + 4294967296) % 4294967296), ',') AS deltas, tail FROM words"))
+def c8_delta_all_words(spark, d):
+    """As c8_delta_words, whose SQL stops after 64 words, over whole contents."""
+    return _words(spark, d, None).select("doc_id", F.concat_ws(",", delta.encode_words(F.col("w")).cast("array<string>")).alias("deltas"), "tail")
+
+
+@query(_sql(_ASSETS, f"words AS ({_ALL_WORDS_SQL})", select="SELECT doc_id, array_to_string(w, ',') AS words, tail FROM words"))
+def c9_delta_decode_all_words(spark, d):
+    coded = _words(spark, d, None).select("doc_id", delta.encode_words(F.col("w")).alias("c"), "tail")
+    return coded.select("doc_id", F.concat_ws(",", delta.decode_words(F.col("c")).cast("array<string>")).alias("words"), "tail")
+
+
 @query()
 def c8_c9_delta_bytes(spark, d):
     a = _assets(spark, d).withColumn("coded", delta.encode_bytes("content"))
