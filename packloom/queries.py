@@ -404,7 +404,7 @@ def f9_content_chunks(spark, d):
 @query()
 def i8_apply_patterns(spark, d):
     a = _assets(spark, d)
-    best = ordering.fixed(patterns.top(patterns.mine(a, WINDOW, LEAST), 500))
+    best = ordering.fixed(patterns.top(patterns.mine(a, WINDOW, LEAST)))
     parts = patterns.apply_patterns(a, best)
     back = patterns.resolve_segments(parts, best)
     refs = parts.groupBy("relative_path").agg(F.count("ref").alias("references"), F.count("literal").alias("literals"))
