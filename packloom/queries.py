@@ -661,7 +661,7 @@ def i10_i11_i12_signatures(spark, d):
 
 @query()
 def e14_codec_benchmark(spark, d):
-    return codec.benchmark(_assets(spark, d), (3, 9))
+    return codec.benchmark(_assets(spark, d))
 
 
 @query(
