@@ -1,9 +1,10 @@
 """Connected components of an edge table, without collecting it.
 
-Edges run from the larger id to the smaller.  Hooking every node below its
-smallest neighbour until each has one turns the graph into a forest; pointer
-jumping then flattens it.  Both loops shuffle edges only, by id, and stage each
-round's table.
+Edges run from the larger node to the smaller.  A round gives every node u its
+smallest neighbour m(u), links u to m(m(u)), and hangs u's other neighbours
+below that as well.  Distances halve from round to round, the number of edges
+never grows, and the rounds end with one edge from each node to its component's
+smallest.  Rounds shuffle edges only, by node, and stage each round's table.
 """
 
 from __future__ import annotations
@@ -17,29 +18,29 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of long ids to ``(id, component_id)`` for every id above its component's smallest.
+def connected_components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """``edges(a, b)`` to ``(id, component_id)`` for every node above its component's smallest.
 
-    Ids that are the smallest of their component, or have no edge, are left out;
-    self-loops, repeated edges and nulls are ignored.
+    Nodes may be of any type that has an order.  Those that are the smallest of
+    their component, or have no edge, are left out; self-loops, repeated edges
+    and nulls are ignored; an empty table gives no rows.  ``rounds`` receives the
+    number of edges of every round.
     """
     now = stage(_oriented(edges), "cc-edges")
     while True:
-        low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).where("c > 1").select(F.col("u").alias("k"), "m")
-        joined = now.join(low, now.u == low.k, "left")
-        hooked = joined.select("u", F.coalesce("m", "v").alias("v")).union(joined.where("m is not null and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = stage(hooked, "cc-edges")
-        drop_staged(now)
-        now = after
-        if now.groupBy("u").count().where("count > 1").isEmpty():
-            break
-    while True:
-        up = now.select(F.col("u").alias("k"), F.col("v").alias("above"))
-        inner = up.join(now.select(F.col("v").alias("k")).distinct(), "k", "left_semi")  # parents that have a parent
-        if inner.isEmpty():
+        low = stage(now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "cc-low")
+        above = low.select(F.col("u").alias("k"), F.col("m").alias("above"))
+        roots = stage(low.join(above, low.m == above.k, "left").select("u", "m", "c", F.coalesce("above", "m").alias("g"), F.col("above").isNotNull().alias("moves")), "cc-roots")
+        state = roots.agg(F.sum("c").alias("edges"), F.max("c").alias("most"), F.max("moves").alias("moves")).first()
+        if rounds is not None:
+            rounds.append(state["edges"] or 0)
+        drop_staged(low)
+        if not state["moves"] and (state["most"] or 1) == 1:
+            drop_staged(roots)
             return now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-        inner = stage(inner, "cc-inner")
-        after = stage(now.join(inner, now.v == inner.k, "left").select("u", F.coalesce("above", "v").alias("v")), "cc-forest")
-        drop_staged(inner)
+        up = roots.select(F.col("u").alias("k"), "m", "g")
+        joined = now.join(up, now.u == up.k)
+        after = stage(joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("g").alias("v")).where("u <> v").distinct(), "cc-edges")
+        drop_staged(roots)
         drop_staged(now)
         now = after

@@ -15,19 +15,25 @@ Nothing emits all pairs of a bucket:
    bits, one flip for each shingle; where two sets' bits differ, so do the sets.
    A link allows (x + y) * 20 / 180 differing shingles for sizes x and y, so
    more differing bits than that rule a pair out, exactly and within the join.
-4. All remaining pairs are compared on full sets.
+4. Buckets that would still need more than ``HEAVY_PAIRS`` comparisons, such as
+   texts of one template that resemble each other a little less than a link
+   asks, are joined on rare shingles instead: two linked sets of size n share one
+   of the n - ceil(0.8 n) + 1 rarest shingles of either, whatever the order of
+   equal counts.  This is exact, too.
+5. All remaining pairs are compared on full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .batches import by_parts, parts
 from .components import connected_components
 from .staging import Steps, stage
 from .shingles import WordHasher, band_keys, linked, min_max, parity_bits, permutations, shingle_set
@@ -36,6 +42,10 @@ PERMUTATIONS = 120
 BAND_ROWS = 6
 #: Parity bits of a set that the last step compares before it compares full sets.
 BITS = 2_048
+#: Comparisons of a bucket above which its members meet by rare shingles instead.
+HEAVY_PAIRS = 1 << 24
+#: Texts and bytes of them whose features are held at once, and pairs of sets.
+PART_ROWS, PART_BYTES, PART_PAIRS = 500, 4 << 20, 4 << 20
 #: A table of at most so many ids is broadcast; it is counted first.
 BROADCAST_IDS = 1_000_000
 
@@ -48,13 +58,14 @@ def _within(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _features(words: int, count: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         hasher = WordHasher()
         a, b = permutations(count)
         bands = 2 * count // rows
-        for batch in batches:
-            ids, sizes, digests, keys = batch.column(0), [], [], []
-            for text in batch.column(1):
+
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, digests, keys = [], [], []
+            for text in part.column(1):
                 h = shingle_set(text.as_py(), words, hasher)
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h))
@@ -64,31 +75,47 @@ def _features(words: int, count: int, rows: int):
             digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum((sizes > 0) * bands))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "d1", "d2", "keys"])
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "d1", "d2", "keys"])
+
+        return one
 
-    return run
+    return by_parts(make, 1, PART_ROWS, PART_BYTES)
 
 
 def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [shingle_set(x.as_py(), words, hasher) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([parity_bits(h, BITS).tolist() for h in found], pa.list_(pa.int64()))], ["id", "words", "bits"])
 
-    return run
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_set(x.as_py(), words, hasher) for x in part.column(1)]
+            columns = [part.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([parity_bits(h, BITS).tolist() for h in found], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "n", "words", "bits"])
+
+        return one
+
+    return by_parts(make, 1, PART_ROWS, PART_BYTES)
 
 
 def _compare(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = part.column("x"), part.column("y")
             keep = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            return part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return one
 
-    return run
+    return by_parts(make, "x", PART_PAIRS)
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of a set; ``set`` tells the sets of one id apart."""
+    for batch in batches:
+        for part in parts(batch, "words", PART_ROWS, PART_BYTES):
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("words")]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(h) for h in found]))
+            names = [xxhash.xxh3_64_intdigest(h) >> 1 for h in found]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(row), pa.array(names, pa.int64()).take(row), part.column("n").take(row), pa.array(np.concatenate(found))], ["id", "set", "n", "shingle"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -108,16 +135,31 @@ def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """Pairs ``(a, b)`` of ``members(id, part, outside)`` that share a rare shingle; a is outside its buckets' leading component."""
+    ids = steps.stage(members.select("id").distinct(), "mh-heavy-ids")
+    shingles = steps.stage(_within(sets, ids).select("id", "n", "words").mapInArrow(_each_shingle, "id long, set long, n long, shingle long"), "mh-shingles")
+    times = steps.stage(shingles.groupBy("shingle").agg(F.count("*").alias("times")), "mh-times")
+    place = F.row_number().over(Window.partitionBy("id", "set").orderBy("times", "shingle"))
+    rare = shingles.join(times.withColumnRenamed("shingle", "s"), F.col("shingle") == F.col("s")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    rare = steps.stage(rare.where("times > 1").select("id", "n", "shingle").distinct().join(members, "id"), "mh-rare")
+    x = rare.where("outside").select("shingle", F.col("id").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
+    y = rare.select(F.col("shingle").alias("s"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"))
+    return x.join(y, x.shingle == y.s).where((F.col("ap") != F.col("bp")) & _fits("an", "bn", percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents link where 100 * |A & B| >= percent * |A | B| on their sets of
     distinct ``words``-word shingles.  ``component_id`` is the smallest id
     reachable over links.  Null and word-less texts have an empty set and link
-    with nothing; a shorter text is one shingle.  Ids must be unique and not
-    null: rows of a null id are returned unlinked and kept.  Repeated rows of
-    one id share its result.  An empty table gives no rows.  Other columns are
-    ignored.
+    with nothing; a shorter text is one shingle; texts may be of any length.
+    Rows of a null id are returned unlinked and kept.  Rows of one id are one
+    document, of several texts if these differ: it links where any of them does,
+    and each row shows the document's component.  Ties: of equal sets, the
+    smallest id stands for all.  An empty table gives no rows.  Other columns
+    are ignored, whatever their names.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     steps = Steps()
@@ -126,17 +168,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     classes = steps.stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")), "mh-classes")
     twins = classes.where("rep <> top").select("d1", "d2", "rep")
-    copies = solid.select("id", "d1", "d2").join(twins, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    copies = steps.stage(copies.distinct(), "mh-copies")
+    members = solid.select("id", "d1", "d2").join(twins, ["d1", "d2"]).where("id <> rep").distinct()
+    members = steps.stage(members, "mh-copies")
+    copies = members.select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     # Buckets of representatives only.
-    alone = solid.join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    alone = solid.join(members.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_anti")
     rows = alone.select("id", "n", F.explode("keys").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
     full = steps.stage(full, "mh-full")
     members = steps.stage(rows.join(full, "key"), "mh-members")
     ids = steps.stage(members.select("id").distinct(), "mh-ids")
-    sets = steps.stage(_within(docs, ids).mapInArrow(_sets(words), "id long, words binary, bits array<long>"), "mh-sets")
+    sets = steps.stage(_within(docs, ids).mapInArrow(_sets(words), "id long, n long, words binary, bits array<long>"), "mh-sets")
 
     # One comparison per member, with the most popular leader of its buckets.
     popular = steps.stage(members.groupBy("id").agg(F.sum("size").alias("fame")), "mh-fame")
@@ -145,20 +188,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = known.select("key", "id").join(leaders, "key").where("id <> leader")
     best = led.groupBy("id").agg(F.max(F.struct("fame", (-F.col("leader")).alias("neg"))).alias("top")).select(F.col("id").alias("a"), (-F.col("top.neg")).alias("b"))
     first = steps.stage(_verified(steps.stage(best, "mh-best"), sets, percent), "mh-first")
-    parts = connected_components(first)
+    joined = connected_components(first)
 
     # Buckets that still hold several components.
     part = F.coalesce("component_id", "id")
-    placed = steps.stage(members.join(parts, "id", "left").select("key", "id", "n", "least", part.alias("part")), "mh-placed")
+    placed = steps.stage(members.join(joined, "id", "left").select("key", "id", "n", "least", part.alias("part")), "mh-placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    mixed = steps.stage(mixed.join(leaders.select("key", "leader"), "key").join(parts.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
+    mixed = steps.stage(mixed.join(leaders.select("key", "leader"), "key").join(joined.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
     open_ = steps.stage(placed.join(mixed, "key"), "mh-open")
+    outside = F.col("part") != F.col("main")
+    heavy = open_.groupBy("key").agg(F.sum(outside.cast("long")).alias("outside"), F.count("*").alias("all"), F.min("main").alias("main")).where(F.col("outside") * F.col("all") > HEAVY_PAIRS)
+    heavy = steps.stage(heavy.select(F.col("key").alias("heavy")), "mh-heavy")
+    by_shingle = None
+    if not heavy.isEmpty():
+        crowd = open_.join(heavy, F.col("key") == F.col("heavy")).groupBy("id").agg(F.max(outside).alias("outside"), F.max("part").alias("part"))
+        by_shingle = _rare_pairs(steps.stage(crowd, "mh-crowd"), sets, percent, steps)
+        open_ = open_.join(heavy, F.col("key") == F.col("heavy"), "left_anti")
     open_ = steps.stage(open_.join(sets.select("id", "bits"), "id"), "mh-bits")
     x = open_.where("part <> main").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"), F.col("bits").alias("abits"))
     y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"), F.col("bits").alias("bbits"), "main")
     new = (F.col("ap") != F.col("bp")) & ((F.col("bp") == F.col("main")) | (F.col("a") > F.col("b")))
     rest = x.join(y, "key").where(new & _fits("an", "bn", percent) & (_least_difference("abits", "bbits") * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    if by_shingle is not None:
+        rest = rest.union(by_shingle).distinct()
     second = steps.stage(_verified(steps.stage(rest, "mh-rest"), sets, percent), "mh-second")
 
     labels = connected_components(copies.union(first).union(second))

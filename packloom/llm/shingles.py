@@ -17,7 +17,7 @@ _MUL = tuple(np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 class WordHasher(dict):
     """64-bit hash of a word; a plain dict that forgets everything once it is large."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

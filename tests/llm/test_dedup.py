@@ -77,6 +77,31 @@ def test_minhash_equals_brute_force(spark, words, percent):
     assert found == brute_documents(texts, words, percent)
 
 
+@pytest.mark.parametrize("heavy", [0, 40])
+def test_minhash_heavy_buckets(spark, monkeypatch, heavy):
+    """Buckets joined on rare shingles give the same links."""
+    monkeypatch.setattr(minhash, "HEAVY_PAIRS", heavy)
+    texts = copies(7, 120)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS), words=4).collect()}
+    assert found == brute_documents(texts, 4, 80)
+
+
+def test_minhash_several_texts_of_one_document(spark):
+    """A document links where any of its texts does."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (5, c.replace("c30", "x")), (5, a.replace("a3", "y")), (6, "alone")]
+    found = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+
+
+def test_minhash_long_and_tied(spark):
+    """Texts of 100,000 words among short ones; equal sizes and equal sets go to the smallest id."""
+    long = " ".join(f"w{k}" for k in range(100_000))
+    rows = [(9, long), (4, long), (7, long.replace("w500 ", "z ")), (2, "a b c d e f"), (1, "a b c d e f"), (3, "f e d c b a")]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {9: 4, 4: 4, 7: 4, 2: 1, 1: 1, 3: 3}
+
+
 def test_minhash_awkward(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = minhash.near_duplicates(spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (3, None)], DOCS)).collect()
@@ -104,6 +129,24 @@ def test_components(spark):
         join(a, b)
     found = dict(connected_components(spark.createDataFrame(edges + [(None, 3)], "a long, b long")).collect())
     assert found == {i: find(i) for i in range(600) if find(i) != i}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["band", "path", "zigzag"])
+def test_components_need_few_rounds(spark, kind):
+    """Chains of 10,000 nodes, as successive versions of a page make."""
+    n = 10_000
+    order = np.arange(n) if kind != "zigzag" else np.where(np.arange(n) % 2, n - 1 - np.arange(n) // 2, np.arange(n) // 2)
+    edges = [(order[k], order[k - 1]) for k in range(1, n)] + [(order[k], order[k - 2]) for k in range(2, n) if kind == "band"]
+    rounds = []
+    found = connected_components(spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long"), rounds)
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(1, n)}
+    assert len(rounds) <= 20 and max(rounds) == rounds[0]
+
+
+def test_components_of_structs(spark):
+    edges = spark.createDataFrame([((1, "b"), (1, "a")), ((2, "c"), (1, "b"))], "a struct<x:long,y:string>, b struct<x:long,y:string>")
+    assert {(r[0].y, r[1].y) for r in connected_components(edges).collect()} == {("b", "a"), ("c", "a")}
 
 
 def brute_vectors(vectors, cosine):
@@ -126,6 +169,7 @@ def brute_vectors(vectors, cosine):
 
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(gridorder, "INTERVAL_BYTES", 64 * 64)
+    monkeypatch.setattr(gridorder, "LEAST_VECTORS", 16)
     monkeypatch.setattr(gridorder, "LEAF", 8)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
@@ -137,6 +181,51 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert found == brute_vectors(vectors, 0.9)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_planted_vectors(spark, monkeypatch, kind):
+    """Thousands of exact and near copies in 64 dimensions, over many tiles; clusters leave most tiles out."""
+    monkeypatch.setattr(gridorder, "INTERVAL_BYTES", 1 << 17)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(2_000, 64))
+    near = base[rng.integers(0, 2_000, 2_000)]
+    near = near + rng.normal(size=near.shape) * rng.choice([0.05, 0.3, 0.45], (2_000, 1))
+    x = np.concatenate((base, near, base[:500], np.repeat(base[:1], 500, 0))).astype(np.float32 if kind == "float" else float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    counts = []
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in gridorder.near_duplicate_vectors(df, tile_counts=counts).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    label = np.arange(len(u))
+    while True:
+        after = np.minimum(label, np.where(link, label, len(u)).min(1))
+        if (after == label).all():
+            break
+        label = after
+    assert found == {i: (int(n), int(c)) for i, (n, c) in enumerate(zip(link.sum(1), label, strict=True))}
+    assert counts[0][1] >= 28
+
+
+def test_tiles_are_left_out(spark, monkeypatch):
+    """Of clustered vectors few pairs of intervals are joined, and few pairs within them are looked at."""
+    monkeypatch.setattr(gridorder, "LEAST_VECTORS", 64)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(24, 32))
+    x = centres[rng.integers(0, 24, 3_000)] + rng.normal(size=(3_000, 32)) * 0.02
+    monkeypatch.setattr(gridorder, "INTERVAL_BYTES", 3_000 * 32 * 8 // 24)
+    counts = []
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert gridorder.near_duplicate_vectors(df, tile_counts=counts).select("component_id").distinct().count() == 24
+    assert counts[0][0] <= 0.4 * counts[0][1]  # an interval meets those that hold the rest of its clusters
+
+
+def test_vectors_of_one_id(spark):
+    """Rows that share an id are vectors of their own."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.01]), (5, [-1.0, 0.0]), (5, [0.0, -1.0]), (4, [-1.0, 0.01]), (6, [0.01, -1.0]), (6, [0.01, -1.0])]
+    found = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in gridorder.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == Counter({(1, 1, 1): 2, (2, 1, 1): 1, (3, 1, 1): 1, (5, 1, 4): 1, (5, 2, 5): 1, (4, 1, 4): 1, (6, 2, 5): 2})
+
+
 def test_vectors_empty(spark):
     assert gridorder.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     rows = gridorder.near_duplicate_vectors(spark.createDataFrame([(None, [1.0]), (3, [1.0])], "vec_id long, embedding array<float>")).collect()
@@ -176,7 +265,7 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op3_perspective_chat", "op5_line_windows", "op7_grid_order_join"])
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op3_perspective_chat", "op5_line_windows", "op7_grid_order_join", "vector_links_at_04"])
 def test_queries_equal_sql(spark, name):
     from packloom.llm import queries
 
