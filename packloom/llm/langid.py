@@ -16,11 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .batches import by_parts
+
 #: N-grams of 1 to this many characters; a space stands for any run of non-letters.
 LONGEST = 4
 #: N-grams of a profile, and of a document that are compared.
 PROFILE = 300
 UNKNOWN = "und"
+#: Languages that a model holds at most; more are an error, since their profiles would not fit one task.
+MOST_LANGUAGES = 500
+#: Distinct (language, n-gram) pairs that a task holds before it passes their sums on.
+HELD = 2_000_000
 #: Tasks that rank the n-grams of one language before one of them joins the results.
 BUCKETS = 64
 
@@ -73,27 +79,40 @@ def most_frequent(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     recent: dict[str, list] = {}
+    waiting = 0  # n-grams in ``recent``
+
+    def merge() -> None:
+        for lang, found in recent.items():
+            keys, counts = (np.concatenate(x) for x in zip(*found, *([held[lang]] if lang in held else []), strict=True))
+            keys, back = np.unique(keys, return_inverse=True)
+            held[lang] = keys, np.bincount(back, counts).astype(np.int64)
+        recent.clear()
 
-    def merge(lang: str) -> None:
-        keys, counts = (np.concatenate(x) for x in zip(*recent.pop(lang), *([held[lang]] if lang in held else []), strict=True))
-        keys, back = np.unique(keys, return_inverse=True)
-        held[lang] = keys, np.bincount(back, counts).astype(np.int64)
+    def sums() -> Iterator[pa.RecordBatch]:
+        for lang, (keys, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+        held.clear()
 
     for batch in batches:
-        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            recent.setdefault(lang, []).append(ngrams(text.as_py()))
-            if len(recent[lang]) >= 200:
-                merge(lang)
-    for lang in list(recent):
-        merge(lang)
-    for lang, (keys, counts) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+            found = ngrams(text.as_py())
+            recent.setdefault(lang.as_py(), []).append(found)
+            waiting += len(found[0])
+            if waiting >= HELD // 4:
+                merge()
+                waiting = 0
+                if sum(len(k) for k, _ in held.values()) >= HELD:
+                    yield from sums()
+    merge()
+    yield from sums()
+    pa.default_memory_pool().release_unused()
 
 
 def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Profiles of every language named in ``labelled``, from all its rows; null languages are ignored.
 
-    What reaches the driver is ``PROFILE`` numbers a language.
+    Ties: n-grams of equal count are ranked by their hash.  What reaches the
+    driver is ``PROFILE`` numbers for each of at most ``MOST_LANGUAGES``.
     """
     rows = labelled.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     sums = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -101,7 +120,10 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     for group in (["lang", "bucket"], ["lang"]):  # a common language's n-grams are ranked in many tasks first
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
     out: dict[str, np.ndarray] = {}
-    for lang, part in best.toPandas().sort_values(["lang", "rank"]).groupby("lang"):
+    found = best.select("lang", "rank", "gram").limit(MOST_LANGUAGES * PROFILE + 1).toPandas()
+    if len(found) > MOST_LANGUAGES * PROFILE:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    for lang, part in found.sort_values(["lang", "rank"]).groupby("lang"):
         out[lang] = part["gram"].to_numpy().astype(np.uint32)
     return out
 
@@ -110,7 +132,7 @@ class Classifier:
     def __init__(self, profiles: dict[str, np.ndarray]):
         self.names = sorted(profiles)
         self.grams = np.unique(np.concatenate([profiles[n] for n in self.names])) if profiles else np.empty(0, np.uint32)
-        self.ranks = np.full((len(self.grams) + 1, len(self.names)), -1, np.int64)
+        self.ranks = np.full((len(self.grams) + 1, len(self.names)), -1, np.int16)
         for k, n in enumerate(self.names):
             self.ranks[np.searchsorted(self.grams, profiles[n]), k] = np.arange(len(profiles[n]))
 
@@ -123,7 +145,7 @@ class Classifier:
         at = np.searchsorted(self.grams, mine)
         known = at < len(self.grams)
         known[known] = self.grams[at[known]] == mine[known]
-        ranks = self.ranks[np.where(known, at, len(self.grams))]
+        ranks = self.ranks[np.where(known, at, len(self.grams))].astype(np.int64)
         apart = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(mine))[:, None]))
         return apart.mean(0) / PROFILE
 
@@ -141,20 +163,25 @@ class Classifier:
 def identify(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``held_out``, ``lang_pred``, ``score``, ``distance``.
 
-    A null text, one without letters, and any text if nothing was learned, is
-    ``und`` with score 0 and distance 1.  Equal distances go to the first name.
-    Null and repeated ids are kept; other columns are ignored.
+    A null or empty text, one without letters, and any text if nothing was
+    learned, is ``und`` with score 0 and distance 1.  Texts may be of any length.
+    Ties: equal distances go to the first name.  Null and repeated ids are kept,
+    each row by its own text; an empty table gives no rows; other columns are
+    ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         model = Classifier(profiles)
-        for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column("text")]
-            columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.float64()), strict=True)] if found else [pa.array([], k) for k in (pa.string(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [id_col, "held_out", "lang_pred", "score", "distance"])
+
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = [model.predict(x.as_py()) for x in part.column("text")]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], [id_col, "held_out", "lang_pred", "score", "distance"])
+
+        return one
 
     source = df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, held_out boolean, lang_pred string, score double, distance double")
+    return source.mapInArrow(by_parts(make, "text"), f"`{id_col}` {source.dtypes[0][1]}, held_out boolean, lang_pred string, score double, distance double")
 
 
 def learn_and_identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

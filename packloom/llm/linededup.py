@@ -14,7 +14,7 @@ either side, so every passage of ``LEAST_WORDS + 4 * SPAN - 3`` (49) words holds
 such a window wherever it stands.
 
 Windows are shuffled as (64-bit hash, id, position), summed by hash before the
-shuffle; texts meet the positions to remove once, by id.
+shuffle; only texts that lose something meet the positions to remove, by id.
 """
 
 from __future__ import annotations
@@ -26,13 +26,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from .batches import by_parts, parts
 from .shingles import WordHasher, _finish
 from .staging import Steps, stage
 
 WINDOW = 3
 #: Words among which one begins a piece, and the least words of a window of pieces.
 SPAN, LEAST_WORDS = 8, 20
+#: Texts and bytes of them that are cut at once.
+PART_ROWS, PART_BYTES = 1_000, 4 << 20
+#: A table of at most so many ids is broadcast; it is counted first.
+BROADCAST_IDS = 1_000_000
 _LINE_END = re.compile(r"[.!?][ \t]+|\n")
 _SPACE = " \t\n\r"
 _WORD = re.compile(r"\S+")
@@ -51,34 +57,32 @@ def lines(text: str) -> list[str]:
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_windows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Hash, key, first line and whether the text held it before, of every window of whole lines."""
     mix = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-    blank = xxhash.xxh3_64_intdigest(b"")
     hashed = xxhash.xxh3_64_intdigest
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 2000):
-            part = batch.slice(begin, 2000)
-            each, sizes = [], []
-            for x in part.column(1):
-                found = [hashed(line.strip(_SPACE).encode()) for line in lines(x.as_py())]
-                found += [blank] * (WINDOW - len(found))
-                sizes.append(len(found))
-                each += found
-            h, sizes = np.array(each, np.uint64), np.array(sizes, np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            whole = np.flatnonzero(at <= sizes[row] - WINDOW)
-            key = np.zeros(len(whole), np.uint64)
-            empty = np.ones(len(whole), bool)
-            for k in range(WINDOW):
-                key = (key ^ (key >> np.uint64(29))) * mix[1] + (h[whole + k] ^ (h[whole + k] >> np.uint64(32))) * mix[k]
-                empty &= h[whole + k] == blank
-            whole, key = whole[~empty], key[~empty]
-            order = np.lexsort((whole, key, row[whole]))
-            same = np.zeros(len(whole), bool)
-            a, b = order[1:], order[:-1]
-            same[a] = (key[a] == key[b]) & (row[whole[a]] == row[whole[b]])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row[whole])), pa.array(at[whole].astype(np.int32)), pa.array(same)], ["h", "id", "at", "again"])
+    blank = hashed(b"")
+    each, sizes = [], []
+    for x in part.column(1):
+        found = [hashed(line.strip(_SPACE).encode()) for line in lines(x.as_py())]
+        found += [blank] * (WINDOW - len(found))
+        sizes.append(len(found))
+        each += found
+    h, sizes = np.array(each, np.uint64), np.array(sizes, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = np.flatnonzero(at <= sizes[row] - WINDOW)
+    key = np.zeros(len(whole), np.uint64)
+    empty = np.ones(len(whole), bool)
+    for k in range(WINDOW):
+        key = (key ^ (key >> np.uint64(29))) * mix[1] + (h[whole + k] ^ (h[whole + k] >> np.uint64(32))) * mix[k]
+        empty &= h[whole + k] == blank
+    whole, key = whole[~empty], key[~empty]
+    order = np.lexsort((whole, key, row[whole]))
+    same = np.zeros(len(whole), bool)
+    a, b = order[1:], order[:-1]
+    same[a] = (key[a] == key[b]) & (row[whole[a]] == row[whole[b]])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row[whole])), pa.array(at[whole].astype(np.int32)), pa.array(same)], ["h", "key", "at", "again"])
 
 
 def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +112,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _piece_windows(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[pa.RecordBatch]:
-    """As :func:`_windows`; ``at`` is -1 less the first word."""
+    """As :func:`_line_windows`; ``at`` is -1 less the first word."""
     for row, x in enumerate(batch.column(1)):
         h = _finish(_word_hashes(x.as_py().split(), hasher))
         first, after = pieces(h)
@@ -119,16 +123,20 @@ def _piece_windows(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[pa.Rec
         _, earliest = np.unique(key, return_index=True)
         again = np.ones(len(key), bool)
         again[earliest] = False
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array([row] * len(key), pa.int64())), pa.array((-1 - first).astype(np.int32)), pa.array(again)], ["h", "id", "at", "again"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array([row] * len(key), pa.int64())), pa.array((-1 - first).astype(np.int32)), pa.array(again)], ["h", "key", "at", "again"])
 
 
-def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
-    for batch in batches:
-        yield from _windows(iter([batch]))
-        made = list(_piece_windows(batch, hasher))
-        if made:
-            yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+def _windows(within_lines: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for part in parts(batch, 1, PART_ROWS, PART_BYTES):
+                yield _line_windows(part)
+                if within_lines and (made := list(_piece_windows(part, hasher))):
+                    yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def _without(text: str, gone: list[int], hasher: WordHasher) -> tuple[str, int]:
@@ -151,51 +159,69 @@ def _without(text: str, gone: list[int], hasher: WordHasher) -> tuple[str, int]:
 
 
 def _rewrite(names: list[str], text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns ``text, row, gone`` to the columns of ``row`` with what is left of the text, and the two counts."""
+
+    def make():
         hasher = WordHasher()
-        for batch in batches:
+
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
             texts, counts, removed = [], [], []
-            for x, gone in zip(batch.column(text_col), batch.column("__gone").to_pylist(), strict=True):
+            for x, gone in zip(part.column("text"), part.column("gone"), strict=True):
                 text, n = x.as_py(), 0
                 counts.append(len(lines(text)) if text else 0)
-                if gone:
-                    text, n = _without(text, gone, hasher)
+                if gone.is_valid:
+                    text, n = _without(text, gone.as_py(), hasher)
                 texts.append(text)
                 removed.append(n)
-            columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+            columns = [pa.array(texts, pa.string()) if n == text_col else c for n, c in zip(names, part.column("row").flatten(), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return run
+        return one
+
+    return by_parts(make, "text", PART_ROWS, PART_BYTES)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, within_lines: bool = False) -> DataFrame:
     """``df`` with repeated passages removed from ``text_col``, and ``n_lines``, ``n_removed``.
 
     Null and empty texts have no window and stay as they are; blank lines count
-    as lines, but windows of blank lines only are no passage.  A text may lose
-    all its lines and becomes empty.  Ids must be unique: rows of a null id stay
-    as they are, and rows that share an id lose the lines that any of them loses
-    at a position.  An empty table gives no rows.  Columns ``n_lines`` and
-    ``n_removed`` are replaced if present, other columns stay.  Windows are
-    compared by 64-bit hash.
+    as lines, but windows of blank lines only are no passage.  A text may be of
+    any length, and may lose all its lines and become empty.  Of the occurrences
+    of a window, the one of the smallest id stays, and in it the first.  Rows of
+    one id and one text are one document and lose the same; rows of one id and
+    different texts are documents of their own, in the order of a hash of the
+    text.  Rows of a null id stay as they are.  An empty table gives no rows.
+    Columns ``n_lines`` and ``n_removed`` are replaced if present; other columns
+    stay, whatever their names.  Windows are compared by 64-bit hash.
 
     ``within_lines`` also removes later copies of passages of 49 words or more
     that hold fewer than three whole lines, but for some words at their ends;
     lines that lose only words count as removed.
     """
-    base = df.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string"))
-    kind = base.schema[id_col].dataType.simpleString()
-    texts = base.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), text_col)
+    fields = [StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in df.schema if f.name not in ("n_lines", "n_removed")]
+    names = [f.name for f in fields]
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    unique = base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    base = base.withColumn("key", F.col("id") if unique else F.when(F.col("id").isNotNull(), F.struct("id", F.xxhash64("text").alias("text")))).drop("id")
+    kind = base.schema["key"].dataType
     steps = Steps()
-    windows = steps.stage(texts.mapInArrow(_all_windows if within_lines else _windows, f"h long, id {kind}, at int, again boolean"), "line-windows")
-    seen = windows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("again").alias("repeats"))
+    cut = StructType([StructField("h", LongType()), StructField("key", kind)])
+    texts = base.where(F.col("key").isNotNull() & (F.col("text") != "")).select("key", "text")
+    windows = steps.stage(texts.mapInArrow(_windows(within_lines), cut.add("at", IntegerType()).add("again", BooleanType())), "line-windows")
+    seen = windows.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max("again").alias("repeats"))
     repeated = steps.stage(seen.where("first <> last or repeats").select("h", "first"), "line-repeated")
-    later = windows.join(repeated, "h").where("id <> first or again")
-    gone = stage(later.groupBy("id").agg(F.collect_set("at").alias("__gone")), "line-gone")
+    later = windows.join(repeated, "h").where("key <> first or again")
+    gone = stage(later.groupBy("key").agg(F.collect_set("at").alias("gone")), "line-gone")
     steps.clear()
-    joined = base.join(gone.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return joined.mapInArrow(_rewrite(base.columns, text_col), schema + ", n_lines long, n_removed long")
+    columns = ["text", "row", "gone"]
+    if gone.count() <= BROADCAST_IDS:  # other texts are not shuffled
+        ids = F.broadcast(gone.select("key"))
+        whole = base.join(ids, "key", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+        joined = whole.select(columns).union(base.join(ids, "key", "left_semi").join(gone, "key").select(columns))
+    else:
+        joined = base.join(gone, "key", "left").select(columns)
+    out = StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return joined.mapInArrow(_rewrite(names, text_col), out)
 
 
 #: DuckDB counterpart over ``documents``, for ids that are unique, of windows of whole lines.

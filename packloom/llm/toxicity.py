@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .batches import by_parts
 from .langid import held_out
 from .staging import stage
 
-#: Labelled rows of each class that the classifier is fitted on at most, those whose ids hash lowest.
+#: Labelled documents of each class that the classifier is fitted on at most, those whose ids hash lowest,
+#: and the characters of a document of that sample at most: longer ones are scored like all others, but not fitted on.
 SAMPLE_ROWS = 3_000
+SAMPLE_CHARS = 1 << 16
 #: Features that the fit weighs: those most associated with the label among features of at least MIN_DOCS documents.
 FEATURES = 4_000
 MIN_DOCS = 4
@@ -81,34 +84,48 @@ def _bags(index: dict[str, int]):
     return run
 
 
+class Bags:
+    """Documents as bags of sentences, for the noisy-or likelihood of their labels."""
+
+    def __init__(self, y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]):
+        """``bags`` holds per document the sizes of its sentences' feature lists and the lists in a row; ``plain`` counts sentences without features."""
+        sizes = [s for s, _ in bags]
+        self.y, self.plain = y, plain
+        self.owner = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
+        self.rows, self.cols = np.repeat(np.arange(len(self.owner)), np.concatenate(sizes)), np.concatenate([f for _, f in bags])
+
+    def _none(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sentence logits, and per document -log of the probability that no sentence is toxic."""
+        z = np.bincount(self.rows, w[self.cols], len(self.owner)) + b
+        return z, np.bincount(self.owner, np.logaddexp(0, z), len(self.y)) + self.plain * np.logaddexp(0, b)
+
+    def loss(self, w: np.ndarray, b: float) -> float:
+        """-log likelihood of the labels."""
+        none = self._none(w, b)[1]
+        return float(np.where(self.y, -np.log(-np.expm1(-none)), none).sum())
+
+    def gradient(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        z, none = self._none(w, b)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        pull = np.where(self.y, -1 / np.expm1(np.clip(none, 1e-9, 50)), 1.0)
+        g = pull[self.owner] * p
+        return np.bincount(self.cols, g[self.rows], len(w)), float(g.sum() + (pull * self.plain * p0).sum())
+
+
 def fit(y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], index: dict[str, int], rounds: int = 1_000, l1: float = 0.1, l2: float = 0.02) -> Model:
-    """Noisy-or likelihood with an elastic net, by scaled proximal gradients.
+    """Noisy-or likelihood with an elastic net, by scaled proximal gradients; arguments as for :class:`Bags`.
 
-    ``bags`` holds per document the sizes of its sentences' feature lists and the
-    lists in a row.  Without documents of both classes nothing can be learned:
-    every sentence scores near 0.
+    Without documents of both classes nothing can be learned: every sentence
+    scores near 0.
     """
     if not y.any() or y.all() or not index:
         return Model({}, -12.0)
-    sizes = [s for s, _ in bags]
-    owner = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
-    sizes = np.concatenate(sizes)
-    rows, cols = np.repeat(np.arange(len(owner)), sizes), np.concatenate([f for _, f in bags])
-    n = len(y)
-
-    def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(rows, w[cols], len(owner)) + b
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        none = np.bincount(owner, np.logaddexp(0, z), n) + plain * np.logaddexp(0, b)  # -log of "no sentence is"
-        pull = np.where(y, -1 / np.expm1(np.clip(none, 1e-9, 50)), 1.0)
-        g = pull[owner] * p
-        return np.bincount(cols, g[rows], len(w)), float(g.sum() + (pull * plain * p0).sum())
-
+    documents = Bags(y, plain, bags)
     w, b = np.zeros(len(index)), -4.0
     speed_w, speed_b, scale_w, scale_b = np.zeros(len(w)), 0.0, np.full(len(w), 1e-8), 1e-8
     still = 0
     for _ in range(rounds):
-        gw, gb = gradient(w, b)
+        gw, gb = documents.gradient(w, b)
         gw = gw + l2 * w
         scale_w, scale_b = np.maximum(0.99 * scale_w, gw * gw), max(0.99 * scale_b, gb * gb)
         speed_w, speed_b = 0.8 * speed_w + 0.2 * gw, 0.8 * speed_b + 0.2 * gb
@@ -126,7 +143,7 @@ def fit(y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarra
 class Scorer(dict):
     """Weight of each word, its beginnings included."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         super().__init__()
         self.model, self.limit = model, limit
 
@@ -181,15 +198,20 @@ class Scorer(dict):
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``SAMPLE_ROWS`` labelled, not held-out documents of each class.
 
-    Several labels of one document count as toxic if any is.  Null labels, ids
-    and texts are left out.  The driver receives ``FEATURES`` words and the
-    sample's sentences as lists of their numbers.
+    Several labels of one document count as toxic if any is, and of several
+    texts of one id the first in order counts.  Null labels, ids and texts, and
+    texts longer than ``SAMPLE_CHARS``, are left out; empty tables teach nothing.
+    Ties: documents are ordered by id hash and id, features of equal association
+    by name.  The driver receives ``FEATURES`` words and the sample's sentences
+    as lists of their numbers.
     """
-    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out(id_col)).groupBy(id_col).agg(F.max("label").alias("label"))
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS) for k in (0, 1)]
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS) for k in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # 2 * SAMPLE_ROWS ids at most
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).where("text is not null").join(sample, id_col)
-    rows = stage(rows.select(F.xxhash64(id_col).alias("place"), "text", "label").repartition(12), "toxic-sample")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(sample, "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = stage(rows.select(F.xxhash64("id").alias("place"), "text", "label").repartition(2 * cores), "toxic-sample")
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     rate = toxic / max(1, total)
     counts = rows.mapInArrow(_present, "feature string, label int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= MIN_DOCS)
@@ -205,20 +227,24 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     ``offending`` lists start, end and probability of the sentences that make a
     document toxic; it is empty where ``predicted`` is 0.  Null texts and texts
-    without words score 0.  Null and repeated ids are kept; other columns are
-    ignored.
+    without words score 0; texts may be of any length.  Null and repeated ids
+    are kept, each row scored by its own text; an empty table gives no rows;
+    other columns are ignored.
     """
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         scorer = Scorer(model)
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
             values, found = [], []
-            for x in batch.column("text"):
+            for x in part.column("text"):
                 text = x.as_py()
                 values.append(scorer.score(text))
                 found.append(scorer.offending(text) if values[-1] >= threshold else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64()), pa.array([int(v >= threshold) for v in values], pa.int32()), pa.array(found, spans)], [id_col, "held_out", "score", "predicted", "offending"])
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(values, pa.float64()), pa.array([int(v >= threshold) for v in values], pa.int32()), pa.array(found, spans)], [id_col, "held_out", "score", "predicted", "offending"])
+
+        return one
 
     source = df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
+    return source.mapInArrow(by_parts(make, "text"), f"`{id_col}` {source.dtypes[0][1]}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
