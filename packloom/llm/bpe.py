@@ -22,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
+
+from .batches import by_parts
 
 END = "</w>"
 #: The white space, letters and digits that the vocabulary's word pattern names.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words whose encodings a worker remembers at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Pairs of tokens whose compatibility it remembers.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -39,6 +42,12 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(1)
+def _unassigned() -> np.ndarray:
+    """Code points that this Python's tables do not know; younger tables, as the word pattern's, may call them letters."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
 class PrefixBPE:
     """Encoder and decoder of one vocabulary file with word ends."""
 
@@ -46,6 +55,7 @@ class PrefixBPE:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
+        self.path, self.library = path, None
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
@@ -148,10 +158,20 @@ class PrefixBPE:
         return out[::-1]
 
     def words(self, text: str) -> list[str]:
+        """Normalised words of a text without special tokens."""
         if not text.isascii():
+            if _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+                return self._library_words(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one
         return self.word.findall(text.lower())
 
+    def _library_words(self, text: str) -> list[str]:
+        """The same by the library's own normaliser and splitter, which decide on characters of any age."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, w)).decode("utf-8") for w, _ in found]
+
     def _coded(self, word: str) -> tuple[bytes, str]:
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
@@ -162,7 +182,7 @@ class PrefixBPE:
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and what they decode to."""
         text, cache, ids, shown = text or "", self.cache, [], []
-        for part in self.split.split(text) if "<|" in text else (text,):
+        for part in self.split.split(text) if any(t in text for t in self.special) else (text,):
             if part in self.special:
                 found = [(np.array([self.special[part]], "<u4").tobytes(), part)]
             else:
@@ -186,20 +206,21 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     Whole texts are encoded as the vocabulary's library does without special
     tokens added; strings of special tokens inside a text become those tokens.
-    Null and empty texts give no ids and the empty string.  Rows of any id, null
-    or repeated, are kept; other columns are ignored.  ``path`` must exist on
-    the executors.  Characters younger than this Python's Unicode tables may be
-    split otherwise than the library does.
+    Null and empty texts give no ids and the empty string; texts may be of any
+    length.  Rows of any id, null or repeated, are kept, each with its own text;
+    an empty table gives no rows; other columns are ignored.  There are no ties:
+    every text has one encoding.  ``path`` must exist on the executors.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         bpe = load(path)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                coded = [bpe.encode(x.as_py()) for x in part.column(1)]
-                ids = [x for x, _ in coded]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([y for _, y in coded], pa.string())], [id_col, "n_tokens", "ids", "decoded"])
-
-    source = df.select(id_col, F.col(text_col).cast("string"))
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, n_tokens long, ids binary, decoded string")
+
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+            coded = [bpe.encode(x.as_py()) for x in part.column(1)]
+            ids = [x for x, _ in coded]
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([y for _, y in coded], pa.string())], [id_col, "n_tokens", "ids", "decoded"])
+
+        return one
+
+    source = df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(by_parts(make, 1), f"`{id_col}` {source.dtypes[0][1]}, n_tokens long, ids binary, decoded string")

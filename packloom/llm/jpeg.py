@@ -24,11 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .batches import parts
+
 #: Blocks across, unless the format's greatest height forces more.
 ROW_BLOCKS = 64
 MOST_DOWN = 65_535 // 8
-#: Payload bytes encoded or decoded side by side.
+#: Payload bytes of texts that are taken together.
 GROUP_BYTES = 1 << 20
+#: Blocks encoded, and restart intervals decoded, side by side.
+LANES = 1 << 14
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -67,25 +71,36 @@ def encode_payloads(texts: list[bytes]) -> list[bytes]:
         heads.append(_head(len(raw), blocks))
         images.append(grid)
     data = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, 64)
+    del padded
+    counts = np.array(images)
+    begins = np.cumsum(counts) - counts
+    ends = np.zeros(len(data), bool)
+    ends[begins + counts - 1] = True
+    pieces, sizes = [], []
+    for at in range(0, len(data), LANES):
+        place = np.arange(at, min(at + LANES, len(data)))
+        image = np.searchsorted(begins, place, "right") - 1
+        flat, size = _coded(data[at : at + LANES], place - begins[image], ends[at : at + LANES])
+        pieces.append(flat)
+        sizes.append(size)
+    whole, cuts = b"".join(pieces), np.cumsum(np.concatenate(sizes))[begins + counts - 1]
+    return [h + whole[a:b] for h, a, b in zip(heads, np.concatenate(([0], cuts[:-1])), cuts, strict=True)]
+
+
+def _coded(data: np.ndarray, place: np.ndarray, last: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Entropy-coded blocks, each with the marker that ends its interval, and their sizes; ``place`` is a block's number in its image."""
     bits = np.zeros((len(data), 64, 9), np.uint8)
     bits[:, :, 1:] = np.unpackbits(data, axis=1).reshape(-1, 64, 8)
     coded = np.packbits(bits.reshape(len(data), 576), axis=1)  # 72 bytes a block
-    # Stuff a zero after each 0xFF, add the marker that ends the interval.
+    # Stuff a zero after each 0xFF, add the marker.
     stuffed = np.zeros((len(data), 74, 2), np.uint8)
     stuffed[:, :72, 0] = coded
     keep = np.zeros(stuffed.shape, bool)
     keep[:, :, 0] = True
     keep[:, :72, 1] = coded == 255
-    counts = np.array(images)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(counts) - counts, counts)
     stuffed[:, 72, 0] = 0xFF
-    stuffed[:, 73, 0] = 0xD0 + place % 8
-    ends = np.cumsum(counts) - 1
-    stuffed[ends, 73, 0] = 0xD9
-    flat = stuffed[keep]
-    cuts = np.cumsum(keep.sum((1, 2)))[ends]
-    whole = flat.tobytes()
-    return [h + whole[a:b] for h, a, b in zip(heads, np.concatenate(([0], cuts[:-1])), cuts, strict=True)]
+    stuffed[:, 73, 0] = np.where(last, 0xD9, 0xD0 + place % 8)
+    return stuffed[keep].tobytes(), keep.sum((1, 2))
 
 
 class Unsupported(ValueError):
@@ -177,19 +192,12 @@ def decode_scans(files: list[bytes], heads: list[dict]) -> list[np.ndarray]:
     after = raw[ff + 1]
     is_marker = (after >= 0xD0) & (after <= 0xD9)
     mark = ff[is_marker]
-    drop = np.zeros(len(raw), bool)
-    drop[ff[after == 0] + 1] = True
-    drop[mark] = drop[mark + 1] = True
-    clean = raw[~drop]
-    moved = np.cumsum(drop)
-    ends = mark - moved[mark] + 1  # byte position of each interval's end
+    zeros = ff[after == 0] + 1  # stuffed
     last = after[is_marker] == 0xD9
     lanes = sum(per_file)
-    if len(ends) != lanes or int(last.sum()) != len(files) or not np.array_equal(np.flatnonzero(last), np.cumsum(per_file) - 1):
+    if len(mark) != lanes or int(last.sum()) != len(files) or not np.array_equal(np.flatnonzero(last), np.cumsum(per_file) - 1):
         raise Unsupported("restart markers do not match the image")
-    begin = np.concatenate(([0], ends[:-1]))
-    clean = np.concatenate((clean, np.zeros(8, np.uint8)))
-    word = (clean[:-3].astype(np.uint32) << 24) | (clean[1:-2].astype(np.uint32) << 16) | (clean[2:-1].astype(np.uint32) << 8) | clean[3:]
+    begin = np.concatenate(([0], mark[:-1] + 2))
 
     lane_mcus = np.full(lanes, step)
     lane_mcus[np.cumsum(per_file) - 1] = np.array(mcus) - step * (np.array(per_file) - 1)
@@ -199,45 +207,58 @@ def decode_scans(files: list[bytes], heads: list[dict]) -> list[np.ndarray]:
     flat = out.reshape(-1)
     tables = np.concatenate([_lookup(p["huff"][k]) for pair in p["tables"] for k in pair])
     component = np.array([c for c, _ in units])
-    bit, k = begin.astype(np.int64) * 8, np.zeros(lanes, np.int64)
-    done = np.zeros(lanes, np.int64)  # blocks of the lane
-    previous = np.zeros((lanes, len(p["components"])), np.int64)
-    live = np.arange(lanes)
-
-    def peek(at: np.ndarray) -> np.ndarray:
-        """The 16 bits at each bit position."""
-        return (word[np.minimum(at >> 3, len(word) - 1)] >> (16 - (at & 7)).astype(np.uint32)).astype(np.int64) & 0xFFFF
-
-    while len(live):
-        b, z, c = bit[live], k[live], component[done[live] % len(units)]
-        entry = tables[(2 * c + (z > 0)) * 65536 + peek(b)]
-        if not entry.all():
-            raise Unsupported("no such code")
-        b = b + (entry >> 8)
-        symbol = entry & 255
-        size, run = symbol & 15, symbol >> 4
-        value = peek(b) >> (16 - size)
-        value = np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
-        b = b + size
-        at_dc = z == 0
-        if at_dc.any():
-            dc = live[at_dc]
-            previous[dc, c[at_dc]] += value[at_dc]
-            value[at_dc] = previous[dc, c[at_dc]]
-        spot = np.where(at_dc, 0, z + run)
-        full = (size > 0) | at_dc
-        if (spot[full] > 63).any():
-            raise Unsupported("too many coefficients")
-        row = (first[live] + done[live])[full]
-        flat[row * 64 + spot[full]] = value[full]
-        z = np.where(full, spot + 1, np.where(run == 15, z + 16, 64))
-        bit[live] = b
-        over = z >= 64
-        k[live] = np.where(over, 0, z)
-        done[live] += over
-        if over.any():
-            stay = done[live] < blocks[live]
-            live = live[stay]
+
+    def decode(some: slice) -> None:
+        """Fills ``out`` from the lanes of ``some``."""
+        low, high = int(begin[some][0]), int(mark[some][-1])
+        gone = np.zeros(high - low, bool)
+        gone[zeros[np.searchsorted(zeros, low) : np.searchsorted(zeros, high)] - low] = True
+        gone[mark[some][:-1] - low] = gone[mark[some][:-1] + 1 - low] = True
+        clean = np.concatenate((raw[low:high][~gone], np.zeros(8, np.uint8)))
+        word = (clean[:-3].astype(np.uint32) << 24) | (clean[1:-2].astype(np.uint32) << 16) | (clean[2:-1].astype(np.uint32) << 8) | clean[3:]
+        starts = begin[some] - low
+        before = np.searchsorted(np.flatnonzero(gone), starts)  # bytes dropped ahead of each lane
+        n = len(starts)
+        bit, k, done = (starts - before).astype(np.int64) * 8, np.zeros(n, np.int64), np.zeros(n, np.int64)  # done: blocks of the lane
+        previous = np.zeros((n, len(p["components"])), np.int64)
+        live, size_of, first_of = np.arange(n), blocks[some], first[some]
+
+        def peek(at: np.ndarray) -> np.ndarray:
+            """The 16 bits at each bit position."""
+            return (word[np.minimum(at >> 3, len(word) - 1)] >> (16 - (at & 7)).astype(np.uint32)).astype(np.int64) & 0xFFFF
+
+        while len(live):
+            b, z, c = bit[live], k[live], component[done[live] % len(units)]
+            entry = tables[(2 * c + (z > 0)) * 65536 + peek(b)]
+            if not entry.all():
+                raise Unsupported("no such code")
+            b = b + (entry >> 8)
+            symbol = entry & 255
+            size, run = symbol & 15, symbol >> 4
+            value = peek(b) >> (16 - size)
+            value = np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
+            b = b + size
+            at_dc = z == 0
+            if at_dc.any():
+                dc = live[at_dc]
+                previous[dc, c[at_dc]] += value[at_dc]
+                value[at_dc] = previous[dc, c[at_dc]]
+            spot = np.where(at_dc, 0, z + run)
+            full = (size > 0) | at_dc
+            if (spot[full] > 63).any():
+                raise Unsupported("too many coefficients")
+            row = (first_of[live] + done[live])[full]
+            flat[row * 64 + spot[full]] = value[full]
+            z = np.where(full, spot + 1, np.where(run == 15, z + 16, 64))
+            bit[live] = b
+            over = z >= 64
+            k[live] = np.where(over, 0, z)
+            done[live] += over
+            if over.any():
+                live = live[done[live] < size_of[live]]
+
+    for at in range(0, lanes, LANES):
+        decode(slice(at, at + LANES))
     return np.split(out, np.cumsum([m * len(units) for m in mcus])[:-1])
 
 
@@ -302,33 +323,22 @@ def payload_of(file: dict) -> tuple[int, bytes]:
     return n_bytes, np.where(c < 0, c + 255, c).astype(np.uint8).tobytes()
 
 
-def _groups(texts: list[bytes]) -> Iterator[slice]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) + 128 > GROUP_BYTES:
-            yield slice(begin, i)
-            begin, size = i, 0
-        size += len(t) + 128
-    if texts:
-        yield slice(begin, len(texts))
-
-
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_media: bool = False) -> DataFrame:
     """Store each text as a baseline JPEG, read it back and describe it.
 
     Per row: id, ``n_bytes``, ``payload_bytes``, ``payload_sha256``,
     ``tail_crc32`` and ``feature`` from the bytes read back, ``media_bytes`` and
     ``media_sha256`` of the file, ``width``, ``height``; with ``keep_media``
-    also the file, ``media``.  A null or empty text is one block of zeros.
-    Equal texts give equal values; null and repeated ids are kept; other columns
-    are ignored.
+    also the file, ``media``.  A null or empty text is one block of zeros; a
+    text may be of any length.  Equal texts give equal values; null and repeated
+    ids are kept, each row with its own text; an empty table gives no rows; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x.as_py() or "").encode("utf-8") for x in batch.column(1)]
-            for part in _groups(texts):
-                media = encode_payloads(texts[part])
+            for part in parts(batch, 1, size=GROUP_BYTES):
+                media = encode_payloads([(x.as_py() or "").encode("utf-8") for x in part.column(1)])
                 rows = []
                 for file, m in zip(describe(media), media, strict=True):
                     n, payload = payload_of(file)
@@ -337,7 +347,8 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns, *([pa.array(media, pa.binary())] * keep_media)], names + ["media"] * keep_media)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *([pa.array(media, pa.binary())] * keep_media)], names + ["media"] * keep_media)
+        pa.default_memory_pool().release_unused()
 
     source = df.select(id_col, F.col(text_col).cast("string"))
     schema = f"`{id_col}` {source.dtypes[0][1]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"

@@ -42,7 +42,7 @@ def test_bpe_equals_library(docs, texts):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abcdeéß'.,!0 日İΣ́<|>\n", max_size=60) | st.text(alphabet=st.characters(exclude_categories=["Cs", "Cn", "Co"]), max_size=40) | st.text(alphabet="etaoinshr", max_size=80))
+@given(st.text(alphabet="abcdeéß'.,!0 日İΣ́<|>\n", max_size=60) | st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40) | st.text(alphabet="etaoinshr", max_size=80))
 def test_bpe_equals_library_on_any_text(text):
     library = _library()
     ids, decoded = bpe.load(WORDS).encode(text)
@@ -50,6 +50,15 @@ def test_bpe_equals_library_on_any_text(text):
     assert np.frombuffer(ids, "<u4").tolist() == expected and decoded == library.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_on_every_character():
+    library, own = _library(), bpe.load(WORDS)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}b 1{chr(c)}" for c in points[k : k + 50_000]]
+        for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(text)[0], "<u4").tolist() == expected.ids, ascii(text)
+
+
 def _library(made=[]):  # noqa: B006
     if not made:
         made.append(Tokenizer.from_file(WORDS))
@@ -113,6 +122,24 @@ def test_jpeg_damage_and_size():
     assert found[7]["thumbnail"].shape == (found[7]["height"] // 8, found[7]["width"] // 8) and jpeg.payload_of(found[7])[1] == bytes(range(256)) * 3000
 
 
+def test_jpeg_of_long_text_needs_little_memory(monkeypatch):
+    """Lanes in groups give the same file and the same bytes; a text of 8 MB stays within 20 bytes a byte."""
+    import tracemalloc
+
+    data = random.Random(3).randbytes(100_000)
+    whole = jpeg.encode_payloads([data, b"x", data[:999]])
+    monkeypatch.setattr(jpeg, "LANES", 37)
+    assert jpeg.encode_payloads([data, b"x", data[:999]]) == whole
+    assert [jpeg.payload_of(f)[1][: len(d)] for f, d in zip(jpeg.describe(whole), (data, b"x", data[:999]), strict=True)] == [data, b"x", data[:999]]
+    monkeypatch.undo()
+    long = b"Some words of a long text. " * 300_000
+    tracemalloc.start()
+    n, back = jpeg.payload_of(jpeg.describe(jpeg.encode_payloads([long]))[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back[:n] == long and peak < 20 * len(long) + 60e6
+
+
 def test_jpeg_without_restarts():
     """A hand-made grey image of two blocks, predicted from one another: DC 5, then 5 - 3, no AC."""
     head = jpeg.encode_payloads([b"a" * 128])[0]
