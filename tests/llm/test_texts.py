@@ -97,13 +97,59 @@ def test_packing_edges(spark, monkeypatch):
     assert many["queue"].nunique() <= 3 and (many.groupby("sequence_id")["length"].sum().iloc[:-1] == 1024).all()
 
 
-def test_schedule_matches_simulation():
-    totals, weights = [37, 400, 3, 160], [37.0, 400.0, 3.0, 160.0]
-    plan = packing.Schedule(totals, weights)
-    slots = [plan.slots_of(q, 0, t).tolist() for q, t in enumerate(totals)]
-    assert sorted(s for x in slots for s in x) == list(range(600)) and all(x == sorted(x) for x in slots)
-    for q, x in enumerate(slots):
-        assert plan.served_before(q, np.array([0, 100, 600])).tolist() == [sum(s < k for s in x) for k in (0, 100, 600)]
+def plain_round_robin(totals, shares, windows, length):
+    """Token by token: each window's quantum is credited, whole tokens are served, the rest goes to the greatest remainders."""
+    from fractions import Fraction
+
+    deficit, left, out = [Fraction(0)] * len(totals), list(totals), []
+    for _ in range(windows):
+        deficit = [d + Fraction(s * length, sum(shares)) for d, s in zip(deficit, shares, strict=True)]
+        window = [0] * len(totals)
+        for q in range(len(totals)):
+            while deficit[q] >= 1:
+                deficit[q] -= 1
+                window[q] += 1
+        while sum(window) < length:
+            q = max(range(len(totals)), key=lambda i: (deficit[i], -i))
+            deficit[q] -= 1
+            window[q] += 1
+        while sum(window) > length:
+            q = min((i for i in range(len(totals)) if window[i]), key=lambda i: (deficit[i], i))
+            deficit[q] += 1
+            window[q] -= 1
+        left = [n - w for n, w in zip(left, window, strict=True)]
+        if min(left) < 0:
+            break
+        out.append(window)
+    return out
+
+
+@pytest.mark.parametrize("weights", [[37, 400, 3, 160], [1, 1, 1], [5], [1000, 1, 1, 1, 1, 1, 30], [7, 7, 7, 1, 2, 3] * 10])
+def test_schedule_equals_plain_round_robin(weights):
+    """Each queue's tokens of each window, over several periods, until one runs dry."""
+    length, totals = 64, [w * 300 for w in weights]
+    plan = packing.Schedule(totals, [float(w) for w in weights], length)
+    shares = packing._to_period(np.array(weights, float), packing.PERIOD * length)
+    expected = plain_round_robin(totals, shares.tolist(), 200, length)
+    assert len(expected) > 100 or len(weights) < 4
+    for q in range(len(weights)):
+        served = plan.served_before(q, np.arange(len(expected) + 1))
+        assert np.diff(served).tolist() == [w[q] for w in expected]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400), st.integers(1, 50)), min_size=1, max_size=9), st.sampled_from([4, 16, 64]))
+def test_schedule_places_every_token_once(queues, length):
+    totals, weights = [t for t, _ in queues], [float(w) for _, w in queues]
+    plan = packing.Schedule(totals, weights, length)
+    places = [plan.place(q, np.arange(t)) for q, t in enumerate(totals)]
+    assert sorted(np.concatenate(places).tolist()) == list(range(sum(totals)))
+    for q, (t, place) in enumerate(zip(totals, places, strict=True)):
+        assert (np.diff(place) > 0).all()
+        x = np.arange(0, sum(totals) + 1, 3)
+        assert plan.served_by(q, x).tolist() == [(place < k).sum() for k in x]
+        doc, first, size, window, offset = plan.pieces(q, np.array([0, t // 2]), np.array([max(1, t // 2), t]))
+        assert (window * length + offset == place[first]).all() and ((first + size <= t) & (offset + size <= length)).all()
 
 
 @settings(max_examples=60, deadline=None)
@@ -264,8 +310,12 @@ def test_packing_many_sources(spark, monkeypatch, shares):
     assert len(whole) > 2 and (abs(whole - 1024 * part / part.sum()) <= 4).all().all()
 
 
-def test_grouped_schedule_uses_every_slot_once():
+def test_grouped_schedule_uses_every_place_once():
     totals, weights = [37, 400, 3, 160, 90, 10], [1.0, 4.0, 3.0, 1.0, 9.0, 2.0]
-    plan = packing.GroupedSchedule(totals, weights, [0, 2, 5])
-    slots = [plan.slots_of(q, 0, t).tolist() for q, t in enumerate(totals)]
-    assert sorted(s for x in slots for s in x) == list(range(700)) and all(x == sorted(x) for x in slots)
+    plan = packing.GroupedSchedule(totals, weights, [0, 2, 5], 64)
+    used = []
+    for q, t in enumerate(totals):
+        doc, first, size, window, offset = plan.pieces(q, np.array([0]), np.array([t]))
+        assert first.tolist() == [0, *np.cumsum(size)[:-1]] and size.sum() == t
+        used += [w * 64 + o + k for w, o, n in zip(window, offset, size, strict=True) for k in range(n)]
+    assert sorted(used) == list(range(700))
