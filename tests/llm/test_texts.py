@@ -14,7 +14,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from packloom.llm import bpe, dom, htmltext, jpeg, langid, packing, queries, toxicity
+from packloom.llm import boosting, bpe, dom, htmltext, jpeg, langid, packing, queries, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -87,6 +87,25 @@ def test_packing(docs, texts, shares):
         assert (abs(counts - share) <= 2.5).all().all()
 
 
+@pytest.mark.parametrize("operator", ["bpe", "media", "language", "pages", "toxicity"])
+def test_empty_repeated_and_long_rows(spark, operator):
+    """An empty table gives no rows; rows of one id keep their own results; long texts go through."""
+    schema = "doc_id long, text string, lang string"
+    run = {
+        "bpe": lambda df: bpe.encode_and_decode(df, WORDS).select("doc_id", "n_tokens"),
+        "media": lambda df: jpeg.media_columns(df).select("doc_id", "n_bytes"),
+        "language": lambda df: langid.learn_and_identify(df).select("doc_id", "lang_pred"),
+        "pages": lambda df: htmltext.extract(df.withColumn("url", F.lit("u")), htmltext.train(), "doc_id", "url", "text").select("doc_id", "n_chars"),
+        "toxicity": lambda df: toxicity.score(df, toxicity.Model({"bad": 35.0}, -30.0)).select("doc_id", "predicted"),
+    }[operator]
+    assert run(spark.createDataFrame([], schema)).count() == 0
+    long = "some words of a text, and more. " * 30_000
+    rows = [(7, "one bad text here.", "en"), (7, "two", "en"), (7, "two", "en"), (None, None, None), (8, "", None), (9, long, "en")]
+    found = run(spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in ("n_tokens", "score", "page", "feature", "id", "held_out")})).collect()
+    assert len(found) == 6 and len({tuple(r) for r in found if r[0] == 7}) <= 2
+    assert next(r[1] for r in found if r[0] == 9) == {"bpe": len(_library().encode(long).ids), "media": len(long), "language": "en", "pages": len(long.strip()), "toxicity": 0}[operator]
+
+
 def test_packing_edges(spark, monkeypatch):
     schema = "doc_id long, text string, source string"
     assert packing.pack(spark.createDataFrame([], schema), BYTES).count() == 0
@@ -237,6 +256,74 @@ def test_decoding_is_consistent():
     assert kept[2:].tolist() == [True, True, False]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_decoding_equals_all_labellings(data):
+    """Keep, drop or leave to the children, for every block of small trees: no consistent labelling is likelier."""
+    from itertools import product
+
+    n = data.draw(st.integers(1, 7))
+    parent = np.array([-1] + [data.draw(st.integers(0, i - 1)) for i in range(1, n)])
+    p = np.array([data.draw(st.floats(0.001, 0.999)) for _ in range(n)])
+    inner = set(parent.tolist())
+    own = np.array([i not in inner and data.draw(st.booleans()) for i in range(n)])
+    order = [0]  # blocks come in document order: parents first, subtrees together
+    for i in order:
+        order[order.index(i) + 1 : order.index(i) + 1] = np.flatnonzero(parent == i).tolist()
+    place = {b: k for k, b in enumerate(order)}
+    parent = np.array([-1 if parent[b] < 0 else place[int(parent[b])] for b in order])
+    p, own = p[order], own[order]
+    filled = own.copy()
+    for i in range(n - 1, 0, -1):
+        filled[parent[i]] |= filled[i]
+
+    def cost(labels):
+        total = 0.0
+        for i, x in enumerate(labels):
+            above = labels[parent[i]] if i else 2
+            if above != 2 and x != above or x == 2 and own[i]:
+                return np.inf
+            total += filled[i] * (-np.log(p[i]) if x == 1 else -np.log1p(-p[i]) if x == 0 else htmltext.MIXED_COST)
+        return total
+
+    kept = htmltext.decode(parent, own, p)
+    best = min(map(cost, product((0, 1, 2), repeat=n)))
+    of_result = min(cost(x) for x in product((0, 1, 2), repeat=n) if all((x[i] == 1) == kept[i] for i in range(n) if own[i]))
+    assert abs(best - of_result) < 1e-9
+
+
+def test_boosted_trees():
+    """A rule of two features is learned; one split equals a search over all cuts."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack((rng.random(2_000), rng.integers(0, 2, 2_000), rng.random(2_000))).astype(np.float32)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0)).astype(float)
+    p = boosting.Boosted().fit(x, y).probability(x)
+    assert ((p > 0.5) == y).mean() > 0.99
+    one = boosting.Boosted(depth=1).fit(x[:, :1], (x[:, 0] > 0.3).astype(float), trees=1, rate=1.0)
+    gain = lambda c: sum(((y0 := (x[:, 0] > 0.3)[m].astype(float) - 0.7).sum()) ** 2 / len(y0) for m in (x[:, 0] > c, x[:, 0] <= c))
+    cuts = np.unique(np.quantile(x[:, 0], np.linspace(0, 1, boosting.BINS + 1)[1:-1]))
+    assert abs(one.cut[0][0] - max(cuts, key=gain)) < 1e-6
+
+
+def test_page_attributes():
+    """Words in values hide nothing; hidden elements and their blocks are gone; only script-like text is skipped."""
+    html = '<article title="ten hidden gems"><p class="post hidden xs" data-x="display:none">kept</p><p hidden>a<p>b<span hidden>c</span><div style="x:y; display : none">d<p>e</p></div><math>m</math><object>o</object><noscript>n</noscript><video>v</video></article>'
+    assert " ".join(t for t in dom.Page(html).texts if t) == "kept b monv"
+    found = htmltext.main_text([dom.Page(html.replace("kept", "A sentence that is kept, as all articles are. " * 5))], htmltext.train())
+    assert found[0].startswith("A sentence that is kept")
+    assert [t for t in dom.Page('a < b <!---->c<!-->d<x y=">">e</x><p z=\'1>2\' w = "3" v=4>f</p >g<a b="h>i').texts if t] == ["a < b cde", "f", "gi"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "</p>", "<li>", "<a>x", "<title>", "<button ", '<a b="x>', "<!--", "<", "</a", "<div hidden>", "<tr><td>", "<a" + "=" * 50, "<p>x<div>"])
+def test_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    page = dom.Page("<div>" * 20_000 + piece * (1_000_000 // len(piece)))
+    dom.features(page.columns())
+    assert time.perf_counter() - began < 8  # a second or less on an idle core
+
+
 def test_page_parser():
     p = dom.Page("<p>a<b>b</b> c<br>d<p>e<ul><li>f<li>g</ul>h<script>x</script><!-- y --><DIV hidden>z</DIV>&amp;i")
     assert [t for t in p.texts if t] == ["ab c d", "e", "f", "g", "h&i"]
@@ -253,11 +340,86 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in langid.learn_and_identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_distances(text, profiles):
+    """Out-of-place distances with n-grams as strings and ranks as list positions; ties as in the operator."""
+    from collections import Counter
+
+    grams = lambda t: Counter(w[i : i + n] for w in ["".join(c if c.isalpha() else " " for c in t.lower())] for n in (1, 2, 3, 4) for w in [" " + " ".join(w.split()) + " "] for i in range(len(w) - n + 1) if w[i : i + n].strip() and " " not in w[i : i + n][1:-1])
+    key = {g: int(k) for t in [text, *profiles.values()] for g in grams(t) for k in [_gram_key(g)]}
+    top = lambda t: [g for g, _ in sorted(grams(t).items(), key=lambda x: (-x[1], key[x[0]]))][: langid.PROFILE]
+    mine, out = top(text), {}
+    for name, t in profiles.items():
+        ranks = {g: r for r, g in enumerate(top(t))}
+        out[name] = sum(abs(ranks[g] - r) if g in ranks else langid.PROFILE for r, g in enumerate(mine)) / len(mine) / langid.PROFILE
+    return out
+
+
+def _gram_key(gram):
+    """The operator's hash of one n-gram."""
+    h = np.array([ord(c) for c in gram], np.uint32)
+    cp, h = h, h * np.uint32(0x9E3779B1)
+    for n in range(2, len(gram) + 1):
+        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + cp[n - 1 :] * np.uint32(0xC2B2AE35) + np.uint32(n)
+    return h[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdé ,.\n", min_size=1, max_size=400).filter(lambda t: any(c.isalpha() for c in t)), min_size=3, max_size=3))
+def test_language_distances_equal_brute_force(texts):
+    profiles = {"a": texts[1], "b": texts[2]}
+    model = langid.Classifier({n: langid.most_frequent(*langid.ngrams(t)) for n, t in profiles.items()})
+    expected = plain_distances(texts[0], profiles)
+    assert np.allclose(model.distances(texts[0]), [expected[n] for n in model.names])
+
+
+def test_language_profiles_equal_whole_counts(spark, monkeypatch):
+    """Sums that are passed on early change no profile; too many languages are an error."""
+    rows = [(k, f"{'abc' if k % 2 else 'xyz'} word{k % 7} thing", "odd" if k % 2 else "even") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = langid.learn_profiles(df)
+    monkeypatch.setattr(langid, "HELD", 40)
+    early = langid.learn_profiles(df)
+    assert {k: v.tolist() for k, v in whole.items()} == {k: v.tolist() for k, v in early.items()}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.learn_profiles(df)
+
+
 def test_language_distance_by_hand():
     model = langid.Classifier({"a": langid.most_frequent(*langid.ngrams("aaa bbb")), "b": langid.most_frequent(*langid.ngrams("xyz xyz xyz"))})
     assert model.predict("aaa bbb")[0] == "a" and model.predict("aaa bbb")[2] == 0 and model.predict("...")[0] == "und"
 
 
+def test_noisy_or_gradient():
+    """The likelihood against plain products, its gradient against differences."""
+    rng = np.random.default_rng(8)
+    y, plain = np.array([1, 0, 1, 0, 1, 1, 0, 0, 1, 0], bool), rng.integers(0, 3, 10).astype(float)
+    docs = [[sorted(rng.choice(6, rng.integers(1, 4), replace=False).tolist()) for _ in range(rng.integers(1, 5))] for _ in y]
+    bags = toxicity.Bags(y, plain, [(np.array([len(s) for s in d]), np.array([f for s in d for f in s])) for d in docs])
+    w, b = rng.normal(size=6) * 0.5, -1.0
+    loss = 0.0
+    for label, rest, d in zip(y, plain, docs, strict=True):
+        none = np.prod([1 - 1 / (1 + np.exp(-(w[s].sum() + b))) for s in d]) * (1 - 1 / (1 + np.exp(-b))) ** rest
+        loss -= np.log(1 - none if label else none)
+    assert abs(bags.loss(w, b) - loss) < 1e-9
+    gw, gb = bags.gradient(w, b)
+    step = 1e-6
+    near = [(bags.loss(w + step * e, b) - bags.loss(w - step * e, b)) / (2 * step) for e in np.eye(6)]
+    assert np.allclose(gw, near, atol=1e-5) and abs(gb - (bags.loss(w, b + step) - bags.loss(w, b - step)) / (2 * step)) < 1e-5
+
+
+def test_toxicity_of_repeated_and_long_rows(spark):
+    """A repeated id teaches once, long texts are scored whole, ties and repeated rows score alike."""
+    rows = [(i, ("vile talk here. " if i % 2 else "kind words here. ") + f"filler{i % 5}.") for i in range(300)] + [(1, "vile talk here. again.")] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, labels)
+    long = "kind words here. " * 20_000
+    found = toxicity.score(spark.createDataFrame([(1, long), (2, long + "vile talk here."), (3, "vile talk."), (3, "vile talk.")], "doc_id long, text string"), model).collect()
+    assert [r["predicted"] for r in found] == [0, 1, 1, 1] and found[2]["score"] == found[3]["score"]
+    assert found[1]["offending"] and found[1]["offending"][-1]["start"] >= len(long)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     plain = [f"word{k}" for k in range(60)]
