@@ -15,15 +15,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 _SHIFT = 33  # monotonically_increasing_id: partition above, row below
 
 
-def _ensure_checkpoints(spark: SparkSession) -> None:
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packloom-"))
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a set checkpoint folder.
+
+    Only a local session, as in tests, may do without: it gets a temporary folder.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="packloom-")
+    return _LOCAL[app]
 
 
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that executors share."""
-    _ensure_checkpoints(spark)
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/packloom-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/packloom-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -34,7 +47,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that a lost executor cannot change an assigned order."""
-    _ensure_checkpoints(df.sparkSession)
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -46,16 +61,17 @@ def with_positions(df: DataFrame, order: list[Column], size: str | None = None,
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumns({f"__k{i}": c for i, c in enumerate(order)})
-    keys = [f"__k{i}" for i in range(len(order))]
-    placed = fixed(keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id()).drop(*keys))
-    placed = placed.withColumn("__part", F.shiftright("__row", _SHIFT)).withColumn("__at", F.col("__row").bitwiseAND(F.lit((1 << _SHIFT) - 1)))
+    keys = [f"k{i}" for i in range(len(order))]
     amount = F.coalesce(F.col(size), F.lit(0)).cast("long") if size else F.lit(0).cast("long")
-    totals = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.sum(amount).alias("__s"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"))
-    out = placed.join(F.broadcast(starts), "__part").withColumn(position, F.col("__n0") + F.col("__at"))
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("value"), amount.alias("amount"), *(c.alias(k) for c, k in zip(order, keys, strict=True)))
+    placed = fixed(keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("value", "amount", F.monotonically_increasing_id().alias("row")))
+    placed = placed.select("value", "amount", F.shiftright("row", _SHIFT).alias("part"), F.col("row").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("at"))
+    totals = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    out = placed.join(F.broadcast(starts), "part")
+    made = {position: F.col("n0") + F.col("at")}
     if size:
-        inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn(offset, F.col("__s0") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return out.drop("__part", "__row", "__at", "__n0", "__s0")
+        inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        made[offset] = F.col("s0") + F.coalesce(F.sum("amount").over(inside), F.lit(0))
+    return out.select(*(F.col("value")[c].alias(c) for c in df.columns if c not in made), *(c.alias(n) for n, c in made.items()))
