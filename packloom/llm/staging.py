@@ -3,35 +3,18 @@
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir``
 names, which driver and executors share; a lost executor then costs a re-read,
 not a recomputation.  Tables that a result still reads stay until the folder is
-cleaned.  Only where that setting is absent (local tests) a temporary folder is
-used.
+cleaned.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_LOCAL: dict[str, str] = {}
+from ..operators.ordering import shared_dir, spread
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables of this session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="packloom-")
-    return _LOCAL[app]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the source has fewer splits than there are cores, as a small table in one file has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+__all__ = ["Steps", "drop_staged", "shared_dir", "spread", "stage"]
 
 
 def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
@@ -39,17 +22,16 @@ def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the table behind a DataFrame returned by :func:`stage`, once nothing reads it."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 class Steps:
