@@ -12,13 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packloom.llm import langid, linededup, packing, toxicity
 from packloom.llm.minhash import near_duplicates
-from packloom.llm.staging import stage
+from packloom.llm.staging import drop_staged, stage
+
+#: A table of at most so many ids is broadcast; it is counted first.
+BROADCAST_IDS = 1_000_000
+
+
+def _of(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id has a verdict of true; of a null id, all."""
-    refused = stage(verdicts.where(~F.col("keep") & F.col("doc_id").isNotNull()).select("doc_id"), "pipeline-refused")
-    return docs.join(refused, "doc_id", "left_anti").select(docs.columns)
+    """Rows whose id has no verdict of false; of a null id, all."""
+    refused = stage(verdicts.where(~F.col("keep") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "pipeline-refused")
+    return docs.join(_of(refused), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +48,19 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    return _keep(docs, near_duplicates(docs).select("doc_id", F.col("kept").alias("keep")))
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    Documents link by their texts as they are now or as they were read: what line
+    dedup left of a near copy, its few own sentences, resembles nothing any more.
+    """
+    read = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    digest = lambda df: df.select("doc_id", F.xxhash64("text").alias("digest"))
+    changed = digest(read).join(digest(docs), ["doc_id", "digest"], "left_anti").join(docs.select("doc_id"), "doc_id", "left_semi")
+    changed = stage(changed.select("doc_id").distinct(), "pipeline-changed")
+    texts = docs.select("doc_id", "text").union(read.join(_of(changed), "doc_id", "left_semi"))
+    out = _keep(docs, near_duplicates(texts).select("doc_id", F.col("kept").alias("keep")))
+    drop_staged(changed)
+    return out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
