@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .batches import by_parts, parts
 from .shingles import WordHasher, _finish
@@ -58,7 +58,7 @@ def lines(text: str) -> list[str]:
 
 
 def _line_windows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Hash, key, first line and whether the text held it before, of every window of whole lines."""
+    """Hash, key, and twice the first line, one more if the text held it before, of every window of whole lines."""
     mix = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
     hashed = xxhash.xxh3_64_intdigest
     blank = hashed(b"")
@@ -82,7 +82,7 @@ def _line_windows(part: pa.RecordBatch) -> pa.RecordBatch:
     same = np.zeros(len(whole), bool)
     a, b = order[1:], order[:-1]
     same[a] = (key[a] == key[b]) & (row[whole[a]] == row[whole[b]])
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row[whole])), pa.array(at[whole].astype(np.int32)), pa.array(same)], ["h", "key", "at", "again"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row[whole])), pa.array(2 * at[whole] + same)], ["h", "key", "at"])
 
 
 def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _piece_windows(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[pa.RecordBatch]:
-    """As :func:`_line_windows`; ``at`` is -1 less the first word."""
+    """As :func:`_line_windows`, with -1 less the first word in place of the first line."""
     for row, x in enumerate(batch.column(1)):
         h = _finish(_word_hashes(x.as_py().split(), hasher))
         first, after = pieces(h)
@@ -123,7 +123,7 @@ def _piece_windows(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[pa.Rec
         _, earliest = np.unique(key, return_index=True)
         again = np.ones(len(key), bool)
         again[earliest] = False
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array([row] * len(key), pa.int64())), pa.array((-1 - first).astype(np.int32)), pa.array(again)], ["h", "key", "at", "again"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array([row] * len(key), pa.int64())), pa.array(2 * (-1 - first) + again)], ["h", "key", "at"])
 
 
 def _windows(within_lines: bool):
@@ -207,16 +207,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     steps = Steps()
     cut = StructType([StructField("h", LongType()), StructField("key", kind)])
     texts = base.where(F.col("key").isNotNull() & (F.col("text") != "")).select("key", "text")
-    windows = steps.stage(texts.mapInArrow(_windows(within_lines), cut.add("at", IntegerType()).add("again", BooleanType())), "line-windows")
-    seen = windows.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max("again").alias("repeats"))
-    repeated = steps.stage(seen.where("first <> last or repeats").select("h", "first"), "line-repeated")
-    later = windows.join(repeated, "h").where("key <> first or again")
-    gone = stage(later.groupBy("key").agg(F.collect_set("at").alias("gone")), "line-gone")
+    windows = steps.stage(texts.mapInArrow(_windows(within_lines), cut.add("at", LongType())), "line-windows", "zstd")
+    seen = windows.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("times"))
+    repeated = steps.stage(seen.where("times > 1").select("h", "first"), "line-repeated")
+    later = windows.join(repeated, "h").where("key <> first or at % 2 <> 0")
+    gone = stage(later.groupBy("key").agg(F.collect_set(F.shiftright("at", 1)).alias("gone")), "line-gone")
     steps.clear()
     columns = ["text", "row", "gone"]
     if gone.count() <= BROADCAST_IDS:  # other texts are not shuffled
         ids = F.broadcast(gone.select("key"))
-        whole = base.join(ids, "key", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+        whole = base.join(ids, "key", "left_anti").withColumn("gone", F.lit(None).cast("array<long>"))
         joined = whole.select(columns).union(base.join(ids, "key", "left_semi").join(gone, "key").select(columns))
     else:
         joined = base.join(gone, "key", "left").select(columns)

@@ -40,10 +40,10 @@ from .shingles import WordHasher, band_keys, linked, min_max, parity_bits, permu
 
 PERMUTATIONS = 120
 BAND_ROWS = 6
-#: Parity bits of a set that the last step compares before it compares full sets.
-BITS = 2_048
+#: Parity bits of a set that are compared before full sets are; the comparison of more would be too long a method for the JIT compiler.
+BITS = 1_024
 #: Comparisons of a bucket above which its members meet by rare shingles instead.
-HEAVY_PAIRS = 1 << 24
+HEAVY_PAIRS = 1 << 20
 #: Texts and bytes of them whose features are held at once, and pairs of sets.
 PART_ROWS, PART_BYTES, PART_PAIRS = 500, 4 << 20, 4 << 20
 #: A table of at most so many ids is broadcast; it is counted first.
@@ -88,8 +88,9 @@ def _sets(words: int):
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingle_set(x.as_py(), words, hasher) for x in part.column(1)]
-            columns = [part.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([parity_bits(h, BITS).tolist() for h in found], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["id", "n", "words", "bits"])
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in found), np.int64).reshape(-1, 2)[:, 0]
+            columns = [part.column(0), pa.array(digest), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([parity_bits(h, BITS).tolist() for h in found], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "d1", "n", "words", "bits"])
 
         return one
 
@@ -109,20 +110,25 @@ def _compare(percent: int):
 
 
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shingle of a set; ``set`` tells the sets of one id apart."""
+    """One row per shingle of a set."""
     for batch in batches:
         for part in parts(batch, "words", PART_ROWS, PART_BYTES):
             found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("words")]
             row = pa.array(np.repeat(np.arange(len(found)), [len(h) for h in found]))
-            names = [xxhash.xxh3_64_intdigest(h) >> 1 for h in found]
-            yield pa.RecordBatch.from_arrays([part.column("id").take(row), pa.array(names, pa.int64()).take(row), part.column("n").take(row), pa.array(np.concatenate(found))], ["id", "set", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("id", "d1", "n")), pa.array(np.concatenate(found))], ["id", "d1", "n", "shingle"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets link; each pair carries its two sets once."""
-    x = sets.select(F.col("id").alias("a"), F.col("words").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_compare(percent), "a long, b long")
+    """Those of ``pairs`` of texts whose full sets link, as ``(a, b)``; each pair carries its two sets once."""
+    x = sets.select(F.col("id").alias("a"), F.col("d1").alias("da"), F.col("words").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("d1").alias("db"), F.col("words").alias("y"))
+    return pairs.select("a", "da", "b", "db").join(x, ["a", "da"]).join(y, ["b", "db"]).select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs of texts once each, the larger id first."""
+    a, b = F.struct(F.col("a").alias("id"), F.col("da").alias("d1")), F.struct(F.col("b").alias("id"), F.col("db").alias("d1"))
+    return pairs.select(F.greatest(a, b).alias("p"), F.least(a, b).alias("q")).select(F.col("p.id").alias("a"), F.col("p.d1").alias("da"), F.col("q.id").alias("b"), F.col("q.d1").alias("db")).distinct()
 
 
 def _least_difference(x: str, y: str) -> Column:
@@ -136,16 +142,17 @@ def _fits(n: str, m: str, percent: int) -> Column:
 
 
 def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
-    """Pairs ``(a, b)`` of ``members(id, part, outside)`` that share a rare shingle; a is outside its buckets' leading component."""
-    ids = steps.stage(members.select("id").distinct(), "mh-heavy-ids")
-    shingles = steps.stage(_within(sets, ids).select("id", "n", "words").mapInArrow(_each_shingle, "id long, set long, n long, shingle long"), "mh-shingles")
+    """Pairs of texts of ``members(id, d1, part, outside)`` that share a rare shingle; the first is outside its buckets' leading component."""
+    ids = steps.stage(members.select("id", "d1"), "mh-heavy-ids")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    shingles = steps.stage(sets.join(some, ["id", "d1"], "left_semi").dropDuplicates(["id", "d1"]).select("id", "d1", "n", "words").mapInArrow(_each_shingle, "id long, d1 long, n long, shingle long"), "mh-shingles")
     times = steps.stage(shingles.groupBy("shingle").agg(F.count("*").alias("times")), "mh-times")
-    place = F.row_number().over(Window.partitionBy("id", "set").orderBy("times", "shingle"))
+    place = F.row_number().over(Window.partitionBy("id", "d1").orderBy("times", "shingle"))
     rare = shingles.join(times.withColumnRenamed("shingle", "s"), F.col("shingle") == F.col("s")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    rare = steps.stage(rare.where("times > 1").select("id", "n", "shingle").distinct().join(members, "id"), "mh-rare")
-    x = rare.where("outside").select("shingle", F.col("id").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
-    y = rare.select(F.col("shingle").alias("s"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"))
-    return x.join(y, x.shingle == y.s).where((F.col("ap") != F.col("bp")) & _fits("an", "bn", percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rare = steps.stage(rare.where("times > 1").select("id", "d1", "n", "shingle").join(members, ["id", "d1"]), "mh-rare")
+    x = rare.where("outside").select("shingle", F.col("id").alias("a"), F.col("d1").alias("da"), F.col("n").alias("an"), F.col("part").alias("ap"))
+    y = rare.select(F.col("shingle").alias("s"), F.col("id").alias("b"), F.col("d1").alias("db"), F.col("n").alias("bn"), F.col("part").alias("bp"))
+    return _ordered(x.join(y, x.shingle == y.s).where((F.col("ap") != F.col("bp")) & _fits("an", "bn", percent)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -174,42 +181,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Buckets of representatives only.
     alone = solid.join(members.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_anti")
-    rows = alone.select("id", "n", F.explode("keys").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
+    rows = alone.select("id", "d1", "n", F.explode("keys").alias("key"))
+    full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     full = steps.stage(full, "mh-full")
     members = steps.stage(rows.join(full, "key"), "mh-members")
     ids = steps.stage(members.select("id").distinct(), "mh-ids")
-    sets = steps.stage(_within(docs, ids).mapInArrow(_sets(words), "id long, n long, words binary, bits array<long>"), "mh-sets")
+    sets = steps.stage(_within(docs, ids).mapInArrow(_sets(words), "id long, d1 long, n long, words binary, bits array<long>").dropDuplicates(["id", "d1"]), "mh-sets")
 
     # One comparison per member, with the most popular leader of its buckets.
-    popular = steps.stage(members.groupBy("id").agg(F.sum("size").alias("fame")), "mh-fame")
-    known = steps.stage(members.select("key", "id").join(popular, "id"), "mh-known")
-    leaders = steps.stage(known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("top")).select("key", F.col("top.fame").alias("fame"), (-F.col("top.neg")).alias("leader")), "mh-leaders")
-    led = known.select("key", "id").join(leaders, "key").where("id <> leader")
-    best = led.groupBy("id").agg(F.max(F.struct("fame", (-F.col("leader")).alias("neg"))).alias("top")).select(F.col("id").alias("a"), (-F.col("top.neg")).alias("b"))
+    popular = steps.stage(members.groupBy("id", "d1").agg(F.sum("size").alias("fame")), "mh-fame")
+    known = steps.stage(members.select("key", "id", "d1").join(popular, ["id", "d1"]), "mh-known")
+    top = F.max(F.struct("fame", (-F.col("id")).alias("neg"), "d1")).alias("top")
+    leaders = steps.stage(known.groupBy("key").agg(top).select("key", F.col("top.fame").alias("fame"), (-F.col("top.neg")).alias("leader"), F.col("top.d1").alias("dl")), "mh-leaders")
+    led = known.select("key", "id", "d1").join(leaders, "key").where("id <> leader")
+    best = led.groupBy("id", "d1").agg(F.max(F.struct("fame", (-F.col("leader")).alias("neg"), "dl")).alias("top")).select(F.col("id").alias("a"), F.col("d1").alias("da"), (-F.col("top.neg")).alias("b"), F.col("top.dl").alias("db"))
     first = steps.stage(_verified(steps.stage(best, "mh-best"), sets, percent), "mh-first")
     joined = connected_components(first)
 
     # Buckets that still hold several components.
     part = F.coalesce("component_id", "id")
-    placed = steps.stage(members.join(joined, "id", "left").select("key", "id", "n", "least", part.alias("part")), "mh-placed")
+    placed = steps.stage(members.join(joined, "id", "left").select("key", "id", "d1", "n", part.alias("part")), "mh-placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     mixed = steps.stage(mixed.join(leaders.select("key", "leader"), "key").join(joined.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
     open_ = steps.stage(placed.join(mixed, "key"), "mh-open")
     outside = F.col("part") != F.col("main")
-    heavy = open_.groupBy("key").agg(F.sum(outside.cast("long")).alias("outside"), F.count("*").alias("all"), F.min("main").alias("main")).where(F.col("outside") * F.col("all") > HEAVY_PAIRS)
+    heavy = open_.groupBy("key").agg(F.sum(outside.cast("long")).alias("outside"), F.count("*").alias("all")).where(F.col("outside") * F.col("all") > HEAVY_PAIRS)
     heavy = steps.stage(heavy.select(F.col("key").alias("heavy")), "mh-heavy")
     by_shingle = None
     if not heavy.isEmpty():
-        crowd = open_.join(heavy, F.col("key") == F.col("heavy")).groupBy("id").agg(F.max(outside).alias("outside"), F.max("part").alias("part"))
+        crowd = open_.join(heavy, F.col("key") == F.col("heavy")).groupBy("id", "d1").agg(F.max(outside).alias("outside"), F.max("part").alias("part"))
         by_shingle = _rare_pairs(steps.stage(crowd, "mh-crowd"), sets, percent, steps)
         open_ = open_.join(heavy, F.col("key") == F.col("heavy"), "left_anti")
-    open_ = steps.stage(open_.join(sets.select("id", "bits"), "id"), "mh-bits")
-    x = open_.where("part <> main").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"), F.col("bits").alias("abits"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"), F.col("bits").alias("bbits"), "main")
+    open_ = steps.stage(open_.join(sets.select("id", "d1", "bits"), ["id", "d1"]), "mh-bits")
+    side = lambda x: [F.col(c).alias(n) for c, n in (("id", x), ("d1", f"d{x}"), ("n", f"{x}n"), ("part", f"{x}p"), ("bits", f"{x}bits"))]
+    x = open_.where(outside).select("key", *side("a"))
+    y = open_.select("key", *side("b"), "main")
     new = (F.col("ap") != F.col("bp")) & ((F.col("bp") == F.col("main")) | (F.col("a") > F.col("b")))
-    rest = x.join(y, "key").where(new & _fits("an", "bn", percent) & (_least_difference("abits", "bbits") * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = _ordered(x.join(y, "key").where(new & _fits("an", "bn", percent) & (_least_difference("abits", "bbits") * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))))
     if by_shingle is not None:
         rest = rest.union(by_shingle).distinct()
     second = steps.stage(_verified(steps.stage(rest, "mh-rest"), sets, percent), "mh-second")
