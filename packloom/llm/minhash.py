@@ -145,7 +145,7 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, steps: Steps)
     """Pairs of texts of ``members(id, d1, part, outside)`` that share a rare shingle; the first is outside its buckets' leading component."""
     ids = steps.stage(members.select("id", "d1"), "mh-heavy-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    shingles = steps.stage(sets.join(some, ["id", "d1"], "left_semi").dropDuplicates(["id", "d1"]).select("id", "d1", "n", "words").mapInArrow(_each_shingle, "id long, d1 long, n long, shingle long"), "mh-shingles")
+    shingles = steps.stage(sets.join(some, ["id", "d1"], "left_semi").select("id", "d1", "n", "words").mapInArrow(_each_shingle, "id long, d1 long, n long, shingle long"), "mh-shingles")
     times = steps.stage(shingles.groupBy("shingle").agg(F.count("*").alias("times")), "mh-times")
     place = F.row_number().over(Window.partitionBy("id", "d1").orderBy("times", "shingle"))
     rare = shingles.join(times.withColumnRenamed("shingle", "s"), F.col("shingle") == F.col("s")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
@@ -186,7 +186,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = steps.stage(full, "mh-full")
     members = steps.stage(rows.join(full, "key"), "mh-members")
     ids = steps.stage(members.select("id").distinct(), "mh-ids")
-    sets = steps.stage(_within(docs, ids).mapInArrow(_sets(words), "id long, d1 long, n long, words binary, bits array<long>").dropDuplicates(["id", "d1"]), "mh-sets")
+    sets = _within(docs, ids).mapInArrow(_sets(words), "id long, d1 long, n long, words binary, bits array<long>")
+    if not solid.groupBy("id", "d1").count().where("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["id", "d1"])
+    sets = steps.stage(sets, "mh-sets")
 
     # One comparison per member, with the most popular leader of its buckets.
     popular = steps.stage(members.groupBy("id", "d1").agg(F.sum("size").alias("fame")), "mh-fame")
