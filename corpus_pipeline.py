@@ -7,6 +7,9 @@ one's ``docs``.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,10 +17,21 @@ from packloom.llm import langid, linededup, packing, toxicity
 from packloom.llm.minhash import near_duplicates
 from packloom.llm.staging import drop_staged, stage
 
+#: Rows of an Arrow batch at most, so that executors hold little memory beside their heap.
+ARROW_ROWS = 1_000
 #: A table of at most so many ids is broadcast; it is counted first.
 BROADCAST_IDS = 1_000_000
 
 
+def _bounded(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
+
 def _of(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -69,11 +83,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language", drop_unknown_language),
-    ("line_dedup", remove_repeated_passages),
-    ("near_duplicates", drop_near_duplicates),
-    ("packing", pack_sequences),
+    ("toxicity", _bounded(drop_toxic)),
+    ("language", _bounded(drop_unknown_language)),
+    ("line_dedup", _bounded(remove_repeated_passages)),
+    ("near_duplicates", _bounded(drop_near_duplicates)),
+    ("packing", _bounded(pack_sequences)),
 ]
 
 #: The classifiers and the tokenizer have no SQL form; tests compare stages with brute force.
