@@ -59,23 +59,24 @@ def compress(data: str | Column, level: str | Column, dict_name: str | Column, d
     return run(data, level, dict_name)
 
 
-def decompress(data: str | Column, dict_name: str | Column, dicts: dict[str, bytes]) -> Column:
-    """The bytes, or null where a frame is damaged or its dictionary is missing."""
+def decompress(data: str | Column, dict_name: str | Column, dicts: dict[str, bytes], most: str | Column | None = None) -> Column:
+    """The bytes, or null where a frame is damaged, its dictionary is missing, or it says to hold more than ``most`` bytes."""
 
     @arrow_udf(BinaryType())
-    def run(data: pa.Array, name: pa.Array) -> pa.Array:
+    def run(data: pa.Array, name: pa.Array, most: pa.Array) -> pa.Array:
         made: dict[str, zstandard.ZstdDecompressor] = {}
         out = []
-        for x, n in zip(data.to_pylist(), name.to_pylist(), strict=True):
+        for x, n, limit in zip(data.to_pylist(), name.to_pylist(), most.to_pylist(), strict=True):
             if n not in made:
                 made[n] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dicts[n]) if n in dicts else None)
             try:
-                out.append(None if x is None else made[n].decompress(x))
+                large = x is not None and limit is not None and zstandard.frame_content_size(x) > limit
+                out.append(None if x is None or large else made[n].decompress(x))
             except zstandard.ZstdError:
                 out.append(None)
         return pa.array(out, pa.binary())
 
-    return run(data, dict_name)
+    return run(data, dict_name, F.lit(None).cast("long") if most is None else most)
 
 
 def benchmark(assets: DataFrame, levels: tuple[int, ...] = (3, 9, 19)) -> DataFrame:

@@ -1,14 +1,17 @@
 """A package: Parquet tables ``index``, ``refs``, ``chunks``, ``dicts``, ``manifest`` in one folder.
 
 Chunks are written once, compressed, with the dictionary version they were
-compressed with.  A folder is written under a temporary name beside its target
-and then renamed, so that readers see the old package or the new one.
+compressed with.  A folder is written under a temporary name beside its target;
+the package that is there moves aside, the new one takes its name, and the old
+one is deleted.  A failure leaves the old package in place and no other folder.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,14 +21,16 @@ from ..functions.delta import decode_bytes, encode_bytes
 from ..functions.hashing import xxh3_64
 from ..functions.paths import basename, is_safe_relative
 from ..operators import codec, duplicates
-from ..operators.chunks import references
+from ..operators.chunks import manifest, references
 from ..operators.integrity import Ed25519, table_digest
 from ..operators.versions import incremental_plan
 from ..operators.windows import content_chunks
-from ..sources.config import CDC_AVG, CDC_MAX, CDC_MIN, DICT_MAX_SAMPLES, Settings
+from ..sources.config import BOMB_BYTES, CDC_AVG, CDC_MAX, CDC_MIN, Settings
 
 TABLES = ["index", "refs", "chunks", "dicts", "manifest"]
 VERSION = 3
+#: Bytes of dictionaries that a task holds at once; chunks of more dictionaries are read in turns.
+HELD_DICTS = 32 << 20
 
 
 def _fs(spark: SparkSession, path: str):
@@ -34,13 +39,43 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def _publish(spark: SparkSession, temp: str, path: str) -> None:
     fs, source = _fs(spark, temp)
-    target = _fs(spark, path)[1]
-    if fs.exists(target):
-        fs.delete(target, True)
+    target, aside = _fs(spark, path)[1], _fs(spark, f"{temp}.old")[1]
+    there = fs.exists(target)
+    if there and not fs.rename(target, aside):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(source, target):
+        if there:
+            fs.rename(aside, target)
         raise OSError(f"cannot rename {temp} to {path}")
+    if there:
+        fs.delete(aside, True)
+
+
+@contextmanager
+def _beside(spark: SparkSession, path: str) -> Iterator[str]:
+    """A temporary folder beside ``path``, published there at the end and deleted after a failure."""
+    temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        yield temp
+        _publish(spark, temp, path)
+    finally:
+        _delete(spark, temp)
+
+
+def _write_manifest(spark: SparkSession, temp: str) -> None:
+    """What the written tables hold, whether built now or taken over."""
+    index, refs, chunks = (spark.read.parquet(f"{temp}/{t}") for t in ("index", "refs", "chunks"))
+    sums = index.agg(F.count("*").alias("asset_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_uncompressed_bytes"))
+    stored = chunks.agg(F.count("*").alias("unique_chunk_count"), F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("total_compressed_bytes"))
+    hits = manifest(refs).select("dedup_hits", "dedup_bytes_saved")
+    sums.crossJoin(stored).crossJoin(hits).withColumn("created_by", F.lit("packloom")).withColumn("version", F.lit(VERSION)).coalesce(1).write.parquet(f"{temp}/manifest")
 
 
 def _chunked(assets: DataFrame, cdc: tuple[int, int, int], mesh_delta: bool) -> DataFrame:
@@ -56,8 +91,12 @@ def _chunked(assets: DataFrame, cdc: tuple[int, int, int], mesh_delta: bool) ->
 
 def build(assets: DataFrame, path: str, settings: Settings | None = None, cdc: tuple[int, int, int] = (CDC_MIN, CDC_AVG, CDC_MAX)) -> None:
     """Write a package of ``assets(relative_path, asset_type, size, hash_hex, content)``."""
-    spark, s = assets.sparkSession, settings or Settings()
-    temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    with _beside(assets.sparkSession, path) as temp:
+        _build(assets, temp, settings or Settings(), cdc)
+
+
+def _build(assets: DataFrame, temp: str, s: Settings, cdc: tuple[int, int, int]) -> None:
+    spark = assets.sparkSession
     dups = duplicates.duplicate_map(assets)
     stored = assets.join(dups, "relative_path", "left_anti")
     dicts = codec.train_dicts(codec.dict_samples(stored))
@@ -67,9 +106,10 @@ def build(assets: DataFrame, path: str, settings: Settings | None = None, cdc: t
     _chunked(stored, cdc, s.mesh_delta).write.parquet(f"{temp}/raw")
     raw = spark.read.parquet(f"{temp}/raw")
     raw_flag = stored_raw(F.col("asset_type"), F.col("relative_path"))
-    refs = references(raw.drop("window"))
-    refs.select("relative_path", "ordinal", "chunk_hash", "start", "length").write.parquet(f"{temp}/refs")
-    firsts = refs.where("stored").select("relative_path", "ordinal", "chunk_hash")
+    references(raw.drop("window")).write.parquet(f"{temp}/marked")
+    marked = spark.read.parquet(f"{temp}/marked")
+    marked.select("relative_path", "ordinal", "chunk_hash", "start", "length").write.parquet(f"{temp}/refs")
+    firsts = marked.where("stored").select("relative_path", "ordinal", "chunk_hash")
     body = raw.join(firsts, ["relative_path", "ordinal", "chunk_hash"], "left_semi").select("chunk_hash", "length", "window", raw_flag.alias("is_raw"), dict_class(F.col("asset_type")).alias("dict_class"), codec_level(F.col("asset_type"), s.levels, s.default_level).alias("level"))
     as_is = body.where("is_raw").select("chunk_hash", "length", F.col("window").alias("data"), F.lit(False).alias("compressed"), F.lit("").alias("dict_id"), F.lit("").alias("dict_class"))
     packed = body.where("not is_raw").select("chunk_hash", "length", codec.compress("window", "level", "dict_class", dicts).alias("data"), F.lit(True).alias("compressed"), F.when(F.col("dict_class").isin(list(dicts)), dict_id).otherwise("").alias("dict_id"), F.when(F.col("dict_class").isin(list(dicts)), F.col("dict_class")).otherwise("").alias("dict_class"))
@@ -79,14 +119,9 @@ def build(assets: DataFrame, path: str, settings: Settings | None = None, cdc: t
     per_file = spark.read.parquet(f"{temp}/refs").join(sizes, "chunk_hash").groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_hash", "body_length", F.col("length").alias("uncompressed_length"), "compressed"))).alias("chunks"))
     index = assets.select("relative_path", "asset_type", "size", F.col("size").alias("uncompressed_length"), F.col("hash_hex").alias("content_hash"), pre_encoding(F.col("asset_type"), s.mesh_delta).alias("pre_encoding"), raw_flag.alias("is_stored_raw"), F.lit(0).cast("long").alias("compressed_length")).join(dups, "relative_path", "left").join(per_file, "relative_path", "left")
     index.withColumn("chunks", F.coalesce("chunks", F.from_json(F.lit("[]"), index.schema["chunks"].dataType.simpleString()))).write.parquet(f"{temp}/index")
-    done = spark.read.parquet(f"{temp}/index")
-    sums = done.agg(F.count("*").alias("asset_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_uncompressed_bytes"))
-    chunk_sums = sizes.agg(F.count("*").alias("unique_chunk_count"), F.coalesce(F.sum("body_length"), F.lit(0)).alias("total_compressed_bytes"))
-    hits = spark.read.parquet(f"{temp}/refs").join(refs.where("not stored").select("relative_path", "ordinal"), ["relative_path", "ordinal"], "left_semi").agg(F.count("*").alias("dedup_hits"), F.coalesce(F.sum("length"), F.lit(0)).alias("dedup_bytes_saved"))
-    sums.crossJoin(chunk_sums).crossJoin(hits).withColumn("created_by", F.lit("packloom")).withColumn("version", F.lit(VERSION)).coalesce(1).write.parquet(f"{temp}/manifest")
-    fs, raw_path = _fs(spark, f"{temp}/raw")
-    fs.delete(raw_path, True)
-    _publish(spark, temp, path)
+    _write_manifest(spark, temp)
+    for part in ("raw", "marked"):
+        _delete(spark, f"{temp}/{part}")
 
 
 def open_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -98,34 +133,63 @@ def open_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def _dicts(tables: dict[str, DataFrame]) -> dict[str, bytes]:
-    """Dictionaries by version and class; three a version."""
-    return {f"{r['dict_id']}/{r['dict_class']}": bytes(r["bytes"]) for r in tables["dicts"].limit(3 * DICT_MAX_SAMPLES).collect()}
+def _windows(tables: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
+    """``chunk_hash, window`` of stored chunks; null where a chunk is damaged or grows beyond its length.
+
+    The dictionaries that a package names are as many as its builds, which a task
+    may not be able to hold: chunks are read in turns, some dictionaries in each.
+    """
+    sizes = sorted((r["dict_id"], r["n"]) for r in tables["dicts"].groupBy("dict_id").agg(F.sum(F.octet_length("bytes")).alias("n")).collect())
+    turns, held = [[""]], 0
+    for name, n in sizes:
+        if held and held + n > HELD_DICTS:
+            turns.append([])
+            held = 0
+        turns[-1].append(name)
+        held += n
+    key = F.concat("dict_id", F.lit("/"), "dict_class")
+    out = chunks.where("not compressed").select("chunk_hash", F.col("data").alias("window"))
+    for names in turns:
+        dicts = {f"{r['dict_id']}/{r['dict_class']}": bytes(r["bytes"]) for r in tables["dicts"].where(F.col("dict_id").isin(names)).collect()}
+        some = chunks.where(F.col("compressed") & F.col("dict_id").isin(names))
+        out = out.union(some.select("chunk_hash", codec.decompress("data", key, dicts, "length").alias("window")))
+    return out
+
+
+def pieces(tables: dict[str, DataFrame], paths: DataFrame | None = None) -> DataFrame:
+    """``relative_path, ordinal, start, window, sound``: the stored form of entries of any size, a row a chunk.
+
+    Rows of a file in the order of ``ordinal`` are its bytes (of a mesh, their differences).
+    """
+    refs = tables["refs"] if paths is None else tables["refs"].join(paths, "relative_path", "left_semi")
+    used = tables["chunks"].join(refs.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+    store = _windows(tables, used)
+    store = store.withColumn("sound", F.coalesce(xxh3_64("window") == F.col("chunk_hash"), F.lit(False)))
+    return refs.join(store, "chunk_hash", "left").select("relative_path", "ordinal", "start", "length", "window", F.coalesce("sound", F.lit(False)).alias("sound"))
 
 
-def contents(tables: dict[str, DataFrame], paths: DataFrame | None = None) -> DataFrame:
+def contents(tables: dict[str, DataFrame], paths: DataFrame | None = None, limit: int = BOMB_BYTES) -> DataFrame:
     """``relative_path, content, reason`` of each entry that stores bytes; content is null where a reason is given.
 
     Chunks are checked against their hashes, files against sizes and hashes.
+    Entries of more than ``limit`` bytes, by their size or their chunks' lengths,
+    are not decompressed.
     """
     index = tables["index"].where("duplicate_of is null")
     if paths is not None:
         index = index.join(paths, "relative_path", "left_semi")
     refs = tables["refs"].join(index.select("relative_path"), "relative_path", "left_semi")
-    used = tables["chunks"].join(refs.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
-    key = F.concat("dict_id", F.lit("/"), "dict_class")
-    packed = used.where("compressed").select("chunk_hash", codec.decompress("data", key, _dicts(tables)).alias("window"))
-    store = packed.union(used.where("not compressed").select("chunk_hash", F.col("data").alias("window")))
-    store = store.withColumn("sound", F.coalesce(xxh3_64("window") == F.col("chunk_hash"), F.lit(False)))
-    joined = refs.join(store, "chunk_hash", "left")
+    grown = refs.groupBy("relative_path").agg(F.sum("length").alias("grown"))
+    index = index.join(grown, "relative_path", "left").withColumn("bomb", F.greatest(F.col("size"), F.coalesce("grown", F.lit(0))) > limit)
+    joined = pieces(tables, index.where("not bomb").select("relative_path"))
     piece = F.struct("ordinal", F.hex("window").alias("piece"))
-    whole = joined.groupBy("relative_path").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.count_if(~F.coalesce("sound", F.lit(False))).alias("bad"))
-    joined = index.select("relative_path", "size", "content_hash", "pre_encoding").join(whole, "relative_path", "left")
-    body = F.when(F.coalesce("bad", F.lit(0)) == 0, F.unhex(F.coalesce(F.array_join(F.col("p.piece"), ""), F.lit(""))))
-    rows = joined.select("relative_path", "size", "content_hash", "pre_encoding", body.alias("content"))
+    whole = joined.groupBy("relative_path").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.count_if(~F.col("sound")).alias("bad"))
+    joined = index.select("relative_path", "size", "content_hash", "pre_encoding", "bomb").join(whole, "relative_path", "left")
+    body = F.when(~F.col("bomb") & (F.coalesce("bad", F.lit(0)) == 0), F.unhex(F.coalesce(F.array_join(F.col("p.piece"), ""), F.lit(""))))
+    rows = joined.select("relative_path", "size", "content_hash", "pre_encoding", "bomb", body.alias("content"))
     coded = rows.where("pre_encoding <> 'None'").withColumn("content", decode_bytes("content"))
     rows = rows.where("pre_encoding = 'None'").unionByName(coded)
-    reason = F.when(F.col("content").isNull(), "damaged chunk").when(F.octet_length("content") != F.col("size"), "size mismatch").when(F.md5("content") != F.col("content_hash"), "hash mismatch")
+    reason = F.when(F.col("bomb"), "larger than the limit").when(F.col("content").isNull(), "damaged chunk").when(F.octet_length("content") != F.col("size"), "size mismatch").when(F.md5("content") != F.col("content_hash"), "hash mismatch")
     return rows.select("relative_path", F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason"))
 
 
@@ -198,9 +262,15 @@ def build_incremental(assets: DataFrame, previous: str, path: str, settings: Set
         return assets.select("relative_path", "size", F.lit("recompress").alias("action"))
     plan = incremental_plan(assets, old["index"].select("relative_path", "size", F.col("content_hash").alias("hash_hex")))
     plan = plan.persist()
-    temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    build(assets.join(plan.where("action = 'recompress'"), "relative_path", "left_semi"), f"{temp}.new", settings, cdc)
-    fresh = open_package(spark, f"{temp}.new")
+    with _beside(spark, path) as temp:
+        _build(assets.join(plan.where("action = 'recompress'"), "relative_path", "left_semi"), f"{temp}/new", settings or Settings(), cdc)
+        _take_over(spark, old, plan, temp)
+    return plan
+
+
+def _take_over(spark: SparkSession, old: dict[str, DataFrame], plan: DataFrame, temp: str) -> None:
+    """Joins what is new, below ``temp``/new, with what the plan takes over; dictionaries that no chunk names end here."""
+    fresh = open_package(spark, f"{temp}/new")
     reused = plan.where("action = 'reuse'").select("relative_path")
     index = old["index"].join(reused, "relative_path", "left_semi")
     # a kept duplicate whose original is gone or changed becomes an entry with chunks of its own
@@ -220,12 +290,10 @@ def build_incremental(assets: DataFrame, previous: str, path: str, settings: Set
     fresh["refs"].unionByName(refs).write.parquet(f"{temp}/refs")
     needed = refs.select("chunk_hash").distinct().join(fresh["chunks"].select("chunk_hash"), "chunk_hash", "left_anti")
     fresh["chunks"].unionByName(old["chunks"].join(needed, "chunk_hash", "left_semi")).write.parquet(f"{temp}/chunks")
-    fresh["dicts"].unionByName(old["dicts"]).write.parquet(f"{temp}/dicts")
-    fresh["manifest"].write.parquet(f"{temp}/manifest")
-    fs, built = _fs(spark, f"{temp}.new")
-    fs.delete(built, True)
-    _publish(spark, temp, path)
-    return plan
+    named = spark.read.parquet(f"{temp}/chunks").select("dict_id", "dict_class").distinct()
+    fresh["dicts"].unionByName(old["dicts"]).join(named, ["dict_id", "dict_class"], "left_semi").write.parquet(f"{temp}/dicts")
+    _write_manifest(spark, temp)
+    _delete(spark, f"{temp}/new")
 
 
 def sign(spark: SparkSession, path: str, private: bytes, public: bytes) -> None:

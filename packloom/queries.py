@@ -216,49 +216,33 @@ def c5_c6_c7_c20_choices(spark, d):
     return _light(spark, d).select("relative_path", classify.stored_raw(kind, path).alias("stored_raw"), classify.codec_level(kind).alias("level"), classify.pre_encoding(kind).alias("pre_encoding"), classify.dict_class(kind).alias("dict_class"))
 
 
-_WORDS_SQL = "SELECT doc_id, list_transform(generate_series(0, least(64, CAST(size // 4 AS BIGINT)) - 1), lambda i: CAST(('0x' || substr(hx, CAST(i * 8 + 7 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 5 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 3 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 1 AS BIGINT), 2)) AS BIGINT)) AS w FROM assets"
+_WORDS_SQL = "SELECT doc_id, substr(hx, CAST(size // 4 * 8 + 1 AS BIGINT), 6) AS tail, list_transform(generate_series(0, CAST(size // 4 AS BIGINT) - 1), lambda i: CAST(('0x' || substr(hx, CAST(i * 8 + 7 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 5 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 3 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 1 AS BIGINT), 2)) AS BIGINT)) AS w FROM assets"
 
 
-def _words(spark, d, most: int | None = 64):
-    """The little-endian words of each file, by default the first 64, and the bytes after the last whole word."""
+def _words(spark, d):
+    """The little-endian words of each whole file, and the bytes after the last whole word."""
     a = _assets(spark, d).withColumn("doc_id", F.regexp_extract("relative_path", r"doc_(\d+)", 1).cast("long"))
-    whole = F.floor(F.octet_length("content") / 4).cast("int")
-    n = whole if most is None else F.least(F.lit(most), whole)
+    n = F.floor(F.octet_length("content") / 4).cast("int")
     at = lambda i, k: F.substring(F.hex(F.substring(F.col("content"), i * 4 + 1, F.lit(4))), 2 * k + 1, 2)
     words = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.concat(at(i, 3), at(i, 2), at(i, 1), at(i, 0)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return a.select("doc_id", words.alias("w"), F.hex(F.substring(F.col("content"), whole * 4 + 1, F.lit(3))).alias("tail"))
+    return a.select("doc_id", words.alias("w"), F.hex(F.substring(F.col("content"), n * 4 + 1, F.lit(3))).alias("tail"))
 
 
-@query(_sql(_ASSETS, f"words AS ({_WORDS_SQL})", select="SELECT doc_id, array_to_string(list_transform(w, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE w[i - 1] END + 4294967296) % 4294967296), ',') AS deltas FROM words"))
+@query(_sql(_ASSETS, f"words AS ({_WORDS_SQL})", select="SELECT doc_id, array_to_string(list_transform(w, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE w[i - 1] END + 4294967296) % 4294967296), ',') AS deltas, tail FROM words"))
 def c8_delta_words(spark, d):
-    return _words(spark, d).select("doc_id", F.concat_ws(",", delta.encode_words(F.col("w")).cast("array<string>")).alias("deltas"))
+    return _words(spark, d).select("doc_id", F.concat_ws(",", delta.encode_words(F.col("w")).cast("array<string>")).alias("deltas"), "tail")
 
 
-@query(_sql(_ASSETS, f"words AS ({_WORDS_SQL})", select="SELECT doc_id, array_to_string(w, ',') AS words FROM words"))
+@query(_sql(_ASSETS, f"words AS ({_WORDS_SQL})", select="SELECT doc_id, array_to_string(w, ',') AS words, tail FROM words"))
 def c9_delta_decode_words(spark, d):
-    coded = _words(spark, d).select("doc_id", delta.encode_words(F.col("w")).alias("c"))
-    return coded.select("doc_id", F.concat_ws(",", delta.decode_words(F.col("c")).cast("array<string>")).alias("words"))
-
-
-_ALL_WORDS_SQL = "SELECT doc_id, substr(hx, CAST(size // 4 * 8 + 1 AS BIGINT), 6) AS tail, list_transform(generate_series(0, CAST(size // 4 AS BIGINT) - 1), lambda i: CAST(('0x' || substr(hx, CAST(i * 8 + 7 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 5 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 3 AS BIGINT), 2) || substr(hx, CAST(i * 8 + 1 AS BIGINT), 2)) AS BIGINT)) AS w FROM assets"
-
-
-@query(_sql(_ASSETS, f"words AS ({_ALL_WORDS_SQL})", select="SELECT doc_id, array_to_string(list_transform(w, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE w[i - 1] END + 4294967296) % 4294967296), ',') AS deltas, tail FROM words"))
-def c8_delta_all_words(spark, d):
-    """As c8_delta_words, whose SQL stops after 64 words, over whole contents."""
-    return _words(spark, d, None).select("doc_id", F.concat_ws(",", delta.encode_words(F.col("w")).cast("array<string>")).alias("deltas"), "tail")
-
-
-@query(_sql(_ASSETS, f"words AS ({_ALL_WORDS_SQL})", select="SELECT doc_id, array_to_string(w, ',') AS words, tail FROM words"))
-def c9_delta_decode_all_words(spark, d):
-    coded = _words(spark, d, None).select("doc_id", delta.encode_words(F.col("w")).alias("c"), "tail")
+    coded = _words(spark, d).select("doc_id", delta.encode_words(F.col("w")).alias("c"), "tail")
     return coded.select("doc_id", F.concat_ws(",", delta.decode_words(F.col("c")).cast("array<string>")).alias("words"), "tail")
 
 
-@query()
+@query(_sql(_ASSETS, select="SELECT relative_path, true AS same FROM assets"))
 def c8_c9_delta_bytes(spark, d):
     a = _assets(spark, d).withColumn("coded", delta.encode_bytes("content"))
-    return a.select("relative_path", F.md5("coded").alias("coded_md5"), (delta.decode_bytes("coded") == F.col("content")).alias("same"))
+    return a.select("relative_path", (delta.decode_bytes("coded") == F.col("content")).alias("same"))
 
 
 _QUANT = "list_transform(embedding, lambda v: CAST(trunc(v * CAST(1024 AS FLOAT)) AS BIGINT))"
@@ -411,6 +395,11 @@ def i8_apply_patterns(spark, d):
     return a.select("relative_path", F.hex("content").alias("h")).join(back, "relative_path").join(refs, "relative_path").select("relative_path", "references", "literals", (F.col("h") == F.col("content_hex")).alias("same"))
 
 
+@query(_sql(_ASSETS, select="SELECT relative_path, true AS same FROM assets"))
+def i8_round_trip(spark, d):
+    return i8_apply_patterns(spark, d).select("relative_path", "same")
+
+
 # Chunk store
 
 @query(_sql(_ASSETS, _BLOCKS, _REFS, select="SELECT relative_path, ordinal, chunk_hash, length, stored FROM refs"))
@@ -639,6 +628,28 @@ def j3_b8_incremental_build(spark, d):
     return out.select("relative_path", F.md5("content").alias("content_md5"), F.col("reason").isNull().alias("ok"))
 
 
+@query(_sql(*(_VERSIONS, _versions_as("old_docs", "old_assets"), _versions_as("new_docs", "new_assets")), select="SELECT count(*) AS asset_count, CAST(sum(size) AS BIGINT) AS total_uncompressed_bytes, true AS chunks_counted, true AS dicts_named FROM new_assets"))
+def e8b_incremental_manifest(spark, d):
+    """The manifest of an incremental package against its own tables."""
+    old, new = _old_new(spark, d)
+    first, second = ordering.scratch(spark), ordering.scratch(spark)
+    package.build(old, first, cdc=CDC)
+    package.build_incremental(new, first, second, cdc=CDC)
+    tables = package.open_package(spark, second)
+    counted = tables["manifest"].crossJoin(tables["chunks"].agg(F.count("*").alias("n"))).crossJoin(tables["refs"].agg(F.count("*").alias("r")))  # one row each
+    stray = tables["dicts"].join(tables["chunks"], ["dict_id", "dict_class"], "left_anti").agg(F.count("*").alias("stray"))
+    chunks_counted = (F.col("unique_chunk_count") == F.col("n")) & (F.col("dedup_hits") == F.col("r") - F.col("n"))
+    return counted.crossJoin(stray).select("asset_count", "total_uncompressed_bytes", chunks_counted.alias("chunks_counted"), (F.col("stray") == 0).alias("dicts_named"))
+
+
+@query(_sql(_ASSETS, select="SELECT relative_path, size, hash_hex FROM assets"))
+def a1_folder_scan(spark, d):
+    """Every document as a file of a folder, which is then scanned."""
+    root = f"{ordering.scratch(spark)}".removeprefix("file://").removeprefix("file:")
+    package.write_files(_assets(spark, d).select("relative_path", "content", F.lit(None).cast("string").alias("reason")), root).collect()
+    return sources.scan_assets(spark, root).select("relative_path", "size", "hash_hex")
+
+
 @query("SELECT true AS signed, true AS wrong_key_refused, true AS change_found")
 def i10_i11_i12_signatures(spark, d):
     """Sign a package, check it with another key, change it and check again."""

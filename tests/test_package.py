@@ -110,6 +110,48 @@ def test_incremental(spark, tree, tmp_path, made):
     assert contents(package.extract_all(package.open_package(spark, str(tmp_path / "p2")))) == v2
 
 
+def test_incremental_manifest_and_dictionaries(spark, tree, tmp_path, made, monkeypatch):
+    """Many builds, each with dictionaries of its own: the manifest counts all files, chunks of every build are read, unused dictionaries go."""
+    monkeypatch.setattr(package, "HELD_DICTS", 1)
+    rng = __import__("random").Random(1)
+    words = [made["random"](k, 12) for k in range(40)]
+    text = lambda: b" ".join(rng.choice(words) for _ in range(400))
+    files = {f"{k:02}.bin": text() for k in range(12)}
+    package.build(scan_assets(spark, tree(files, "v0")), str(tmp_path / "p0"), cdc=CDC)
+    for n in range(1, 4):
+        files |= {f"{k:02}.bin": text() for k in range(n - 1, n + 6)}
+        package.build_incremental(scan_assets(spark, tree(files, f"v{n}")), str(tmp_path / f"p{n - 1}"), str(tmp_path / f"p{n}"), cdc=CDC)
+    tables = package.open_package(spark, str(tmp_path / "p3"))
+    assert contents(package.extract_all(tables)) == files
+    row = tables["manifest"].first()
+    assert (row["asset_count"], row["total_uncompressed_bytes"]) == (len(files), sum(map(len, files.values())))
+    assert row["unique_chunk_count"] == tables["chunks"].count() and row["total_compressed_bytes"] == sum(len(r["data"]) for r in tables["chunks"].collect())
+    named = {(r["dict_id"], r["dict_class"]) for r in tables["chunks"].collect()} - {("", "")}
+    assert {(r["dict_id"], r["dict_class"]) for r in tables["dicts"].collect()} == named and len({i for i, _ in named}) > 1
+    assert not [x for x in os.listdir(tmp_path) if "." in x]
+
+
+def test_failed_build_leaves_the_old_package(spark, tree, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    package.build(scan_assets(spark, tree({"a.bin": b"old"}, "v1")), path, cdc=CDC)
+    monkeypatch.setattr(package, "_write_manifest", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        package.build(scan_assets(spark, tree({"a.bin": b"new"}, "v2")), path, cdc=CDC)
+    assert contents(package.extract_all(package.open_package(spark, path))) == {"a.bin": b"old"}
+    assert sorted(os.listdir(tmp_path)) == ["p", "v1", "v2"]
+
+
+def test_bomb_guard_and_pieces(spark, tree, tmp_path, made):
+    """Entries above the limit are not decompressed; chunk by chunk they are still there."""
+    files = {"small.bin": made["random"](1, 500), "large.bin": bytes(50_000)}
+    package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
+    tables = package.open_package(spark, str(tmp_path / "p"))
+    found = {r["relative_path"]: (r["content"] and bytes(r["content"]), r["reason"]) for r in package.contents(tables, limit=1_000).collect()}
+    assert found == {"small.bin": (files["small.bin"], None), "large.bin": (None, "larger than the limit")}
+    rows = package.pieces(tables).where("relative_path = 'large.bin'").orderBy("ordinal").collect()
+    assert b"".join(bytes(r["window"]) for r in rows) == files["large.bin"] and all(r["sound"] for r in rows)
+
+
 def test_incremental_without_previous(spark, tree, tmp_path, made):
     plan = package.build_incremental(scan_assets(spark, tree({"a.bin": b"abc"})), str(tmp_path / "none"), str(tmp_path / "p"), cdc=CDC)
     assert [r["action"] for r in plan.collect()] == ["recompress"]
