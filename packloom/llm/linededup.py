@@ -159,7 +159,7 @@ def _without(text: str, gone: list[int], hasher: WordHasher) -> tuple[str, int]:
 
 
 def _rewrite(names: list[str], text_col: str):
-    """Columns ``text, row, gone`` to the columns of ``row`` with what is left of the text, and the two counts."""
+    """Columns ``text, row, gone`` to the columns of ``row`` and what is left of the text in its place, and the two counts."""
 
     def make():
         hasher = WordHasher()
@@ -173,7 +173,8 @@ def _rewrite(names: list[str], text_col: str):
                     text, n = _without(text, gone.as_py(), hasher)
                 texts.append(text)
                 removed.append(n)
-            columns = [pa.array(texts, pa.string()) if n == text_col else c for n, c in zip(names, part.column("row").flatten(), strict=True)]
+            others = iter(part.column("row").flatten()[1:])
+            columns = [pa.array(texts, pa.string()) if n == text_col else next(others) for n in names]
             return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
         return one
@@ -200,7 +201,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     fields = [StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in df.schema if f.name not in ("n_lines", "n_removed")]
     names = [f.name for f in fields]
-    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{n}`") for n in names if n != text_col)).alias("row"))
     unique = base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
     base = base.withColumn("key", F.col("id") if unique else F.when(F.col("id").isNotNull(), F.struct("id", F.xxhash64("text").alias("text")))).drop("id")
     kind = base.schema["key"].dataType

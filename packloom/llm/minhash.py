@@ -175,7 +175,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     classes = steps.stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")), "mh-classes")
     twins = classes.where("rep <> top").select("d1", "d2", "rep")
-    members = solid.select("id", "d1", "d2").join(twins, ["d1", "d2"]).where("id <> rep").distinct()
+    repeats = not solid.groupBy("id", "d1").count().where("count > 1").isEmpty()  # rows of one id and text
+    members = solid.select("id", "d1", "d2")
+    members = (members.distinct() if repeats else members).join(F.broadcast(twins) if twins.count() <= BROADCAST_IDS else twins, ["d1", "d2"]).where("id <> rep")
     members = steps.stage(members, "mh-copies")
     copies = members.select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
@@ -187,7 +189,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = steps.stage(rows.join(full, "key"), "mh-members")
     ids = steps.stage(members.select("id").distinct(), "mh-ids")
     sets = _within(docs, ids).mapInArrow(_sets(words), "id long, d1 long, n long, words binary, bits array<long>")
-    if not solid.groupBy("id", "d1").count().where("count > 1").isEmpty():  # repeated rows
+    if repeats:
         sets = sets.dropDuplicates(["id", "d1"])
     sets = steps.stage(sets, "mh-sets")
 
