@@ -29,10 +29,10 @@ from .batches import by_parts
 END = "</w>"
 #: The white space, letters and digits that the vocabulary's word pattern names.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Words whose encodings a worker remembers at once.
-CACHE_WORDS = 150_000
+#: Words whose encodings a worker remembers, and as many of those before.
+CACHE_WORDS = 200_000
 #: Pairs of tokens whose compatibility it remembers.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 1_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -83,6 +83,7 @@ class PrefixBPE:
             self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.known: dict[int, bool] = {}  # compatibility of token pairs
 
     def _symbols(self, token: str) -> str:
@@ -174,9 +175,12 @@ class PrefixBPE:
 
     def _coded(self, word: str) -> tuple[bytes, str]:
         if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        ids = self.encode_word(word)
-        value = self.cache[word] = (np.array(ids, "<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)))
+            self.older, self.cache = self.cache, {}
+        value = self.older.get(word)
+        if value is None:
+            ids = self.encode_word(word)
+            value = (np.array(ids, "<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)))
+        self.cache[word] = value
         return value
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
