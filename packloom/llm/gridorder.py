@@ -36,8 +36,9 @@ GRID_AXES = 8
 #: Bytes of an interval's vectors at most, and vectors of one at least, unless there are fewer.
 INTERVAL_BYTES = 4 << 20
 LEAST_VECTORS = 1_024
-#: Blocks of an interval whose bounds decide which intervals meet.
+#: Blocks of an interval whose bounds decide which intervals meet, and cuts between them where the order leaps, at most.
 BLOCKS = 8
+LEAPS = 63
 #: Partners of an interval in one task at most.
 ROW = 8
 #: Vectors that the axes are fitted on at most; they change the speed only.
@@ -95,7 +96,17 @@ def _bound(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     return p.min(0), p.max(0), middle, math.sqrt(((p - middle) ** 2).sum(1).max())
 
 
-def _intervals(axes: np.ndarray, size: int, kind: str):
+def _blocks(p: np.ndarray, eps: float) -> list[np.ndarray]:
+    """Blocks of an interval: equal parts, cut again where neighbours are further apart than ``eps``."""
+    leap = np.sqrt(((p[1:] - p[:-1]) ** 2).sum(1))
+    cuts = np.flatnonzero(leap > eps) + 1
+    if len(cuts) > LEAPS:
+        cuts = np.argsort(-leap, kind="stable")[:LEAPS] + 1
+    even = np.arange(1, BLOCKS) * len(p) // BLOCKS
+    return [x for x in np.split(p, np.unique(np.concatenate((cuts, even)))) if len(x)]
+
+
+def _intervals(axes: np.ndarray, size: int, kind: str, eps: float):
     """One row per interval: number, the classes and their vectors, bounds of its blocks.  The last may be half as long again."""
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([*((c, pa.list_(pa.float64())) for c in ("low", "high", "middle")), ("radius", pa.float64())])))
 
@@ -106,7 +117,7 @@ def _intervals(axes: np.ndarray, size: int, kind: str):
             raw = b"".join(table.column("u").to_pylist())
             p = _unit_matrix(raw, len(axes), kind) @ axes
             longs = [table.column(c).to_numpy().astype("<i8").tobytes() for c in (*_KEY, "w")]
-            values = [(part << 24) + made, b"".join(longs), raw, [dict(zip(("low", "high", "middle", "radius"), _bound(x), strict=True)) for x in np.array_split(p, BLOCKS) if len(x)]]
+            values = [(part << 24) + made, b"".join(longs), raw, [dict(zip(("low", "high", "middle", "radius"), _bound(x), strict=True)) for x in _blocks(p, eps)]]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["i", "classes", "m", "blocks"])
 
         for batch in batches:
@@ -290,7 +301,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     gridded = single.mapInArrow(_on_grid(axes, eps, kind), "id long, d1 long, d2 long, w long, u binary, " + ", ".join(f"{c} int" for c in grid) + ", p double")
     order = [*grid, "p", *_KEY]
     ordered = gridded.repartitionByRange(wanted, *order).coalesce(wanted).sortWithinPartitions(*order)
-    intervals = steps.stage(ordered.mapInArrow(_intervals(axes, size, kind), "i long, classes binary, m binary, blocks array<struct<low:array<double>,high:array<double>,middle:array<double>,radius:double>>"), "ego-intervals")
+    intervals = steps.stage(ordered.mapInArrow(_intervals(axes, size, kind, eps), "i long, classes binary, m binary, blocks array<struct<low:array<double>,high:array<double>,middle:array<double>,radius:double>>"), "ego-intervals")
 
     # Pairs of intervals that come within eps, by neighbouring cells of the first axis.
     boxes = steps.stage(intervals.select("i", F.explode("blocks").alias("b")).select("i", "b.*"), "ego-blocks")
