@@ -121,7 +121,7 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
     out: dict[str, np.ndarray] = {}
     found = best.select("lang", "rank", "gram").limit(MOST_LANGUAGES * PROFILE + 1).toPandas()
-    if len(found) > MOST_LANGUAGES * PROFILE:
+    if len(found) > MOST_LANGUAGES * PROFILE or found["lang"].nunique() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     for lang, part in found.sort_values(["lang", "rank"]).groupby("lang"):
         out[lang] = part["gram"].to_numpy().astype(np.uint32)

@@ -227,7 +227,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     ``offending`` lists start, end and probability of the sentences that make a
     document toxic; it is empty where ``predicted`` is 0.  Null texts and texts
-    without words score 0; texts may be of any length.  Null and repeated ids
+    without words score 0; texts may be of any length, and since a noisy-or adds
+    up what little each sentence has, texts of far more sentences than those of
+    the sample lean towards toxic.  Null and repeated ids
     are kept, each row scored by its own text; an empty table gives no rows;
     other columns are ignored.
     """

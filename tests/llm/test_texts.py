@@ -414,10 +414,14 @@ def test_toxicity_of_repeated_and_long_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.learn(docs, labels)
-    long = "kind words here. " * 20_000
-    found = toxicity.score(spark.createDataFrame([(1, long), (2, long + "vile talk here."), (3, "vile talk."), (3, "vile talk.")], "doc_id long, text string"), model).collect()
-    assert [r["predicted"] for r in found] == [0, 1, 1, 1] and found[2]["score"] == found[3]["score"]
-    assert found[1]["offending"] and found[1]["offending"][-1]["start"] >= len(long)
+    found = toxicity.score(spark.createDataFrame([(3, "vile talk."), (3, "vile talk."), (4, "kind words here.")], "doc_id long, text string"), model).collect()
+    assert [r["predicted"] for r in found] == [1, 1, 0] and found[0]["score"] == found[1]["score"]
+    # a noisy-or adds up what little every sentence has: of 20,000 sentences at exp(-14) it stays small, at exp(-6) it does not
+    long, model = "kind words here. " * 20_000, toxicity.Model({"vile": 18.0}, -14.0)
+    found = toxicity.score(spark.createDataFrame([(1, long), (2, long + "vile talk here.")], "doc_id long, text string"), model).collect()
+    assert [r["predicted"] for r in found] == [0, 1] and abs(found[0]["score"] - (1 - (1 - 1 / (1 + np.exp(14))) ** 20_000)) < 1e-9
+    assert [o["start"] for o in found[1]["offending"]] == [len(long)]
+    assert toxicity.Scorer(toxicity.Model({}, -6.0)).score(long) > 0.99
 
 
 def test_toxicity(spark):
