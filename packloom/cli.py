@@ -8,14 +8,12 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import codec, listing
+from .operators import listing
 from .operators.integrity import Ed25519
-from .plans import analyze, package, patch
+from .plans import analyze, benchmark, package, patch
 from .sources.assets import scan_assets
 from .sources.config import load
 
-PATCH_TABLES = ["entries", "refs", "chunks"]
-
 
 def _show(df: DataFrame, as_json: bool) -> None:
     """Rows stream to the terminal one partition at a time."""
@@ -82,16 +80,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         _show(checked if a.verbose else checked.where("not ok"), a.json)
         return int(not checked.where("not ok").isEmpty())
     elif a.command in ("decompress", "extract-file"):
-        tables = package.open_package(spark, a.package)
-        rows = package.extract_all(tables) if a.command == "decompress" else package.extract_file(tables, a.path).withColumnRenamed("name", "relative_path")
-        _show(package.write_files(rows, os.path.abspath(a.output)).where("not ok"), a.json)
+        tables, root = package.open_package(spark, a.package), os.path.abspath(a.output)
+        wrote = package.extract_to(tables, root) if a.command == "decompress" else package.write_files(package.extract_file(tables, a.path).withColumnRenamed("name", "relative_path"), root)
+        failed = wrote.where("not ok").persist()  # files are written once
+        _show(failed, a.json)
+        return int(not failed.isEmpty())
     elif a.command == "benchmark":
-        _show(codec.benchmark(scan_assets(spark, a.folder), (3, 9) if a.no_zstd19 else (3, 9, 19)), a.json)
+        _show(benchmark.run(scan_assets(spark, a.folder), (3, 9) if a.no_zstd19 else (3, 9, 19)), a.json)
     elif a.command == "patch":
-        for name, table in patch.build_patch(scan_assets(spark, a.old), scan_assets(spark, a.new)).items():
-            table.write.parquet(f"{a.output}/{name}")
+        patch.write_patch(spark, patch.build_patch(scan_assets(spark, a.old), scan_assets(spark, a.new)), a.output)
     elif a.command == "apply-patch":
-        made = patch.apply_patch(scan_assets(spark, a.old), {t: spark.read.parquet(f"{a.patch}/{t}") for t in PATCH_TABLES})
+        made = patch.apply_patch(scan_assets(spark, a.old), *patch.open_patch(spark, a.patch))
         rows = made.select("relative_path", "content", F.when(~F.col("ok"), "hash mismatch").alias("reason"))
         failed = package.write_files(rows, os.path.abspath(a.output)).where("not ok").persist()
         _show(failed, a.json)

@@ -67,6 +67,23 @@ def decode_buffer(data: bytes) -> bytes:
     return np.cumsum(np.frombuffer(data, "<u4", whole // 4), dtype=np.uint32).astype("<u4").tobytes() + data[whole:]
 
 
+class BufferDecoder:
+    """``decode_buffer`` of a buffer that comes in parts."""
+
+    def __init__(self) -> None:
+        self.rest, self.last = b"", np.uint32(0)
+
+    def part(self, data: bytes) -> bytes:
+        data = self.rest + data
+        whole = len(data) & ~3
+        words = np.cumsum(np.frombuffer(data, "<u4", whole // 4), dtype=np.uint32) + self.last
+        self.rest, self.last = data[whole:], words[-1] if len(words) else self.last
+        return words.astype("<u4").tobytes()
+
+    def end(self) -> bytes:
+        return self.rest
+
+
 @arrow_udf(BinaryType())
 def encode_bytes(data: pa.Array) -> pa.Array:
     return pa.array([None if x is None else encode_buffer(x) for x in data.to_pylist()], pa.binary())

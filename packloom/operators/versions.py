@@ -79,3 +79,19 @@ def incremental_stats(plan: DataFrame, previous: DataFrame) -> DataFrame:
 def reuse_rows(old_rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of the previous build that are copied as they are."""
     return old_rows.join(plan.where(F.col("action") == "reuse").select("relative_path"), "relative_path", "left_semi")
+
+
+def manifest_rows(assets: DataFrame, index: DataFrame, version: int) -> DataFrame:
+    """What a build remembers of each file: ``relative_path, version, mtime_nanos, file_size, content_hash, index_entry``.
+
+    The time is 0 where the source has none.
+    """
+    mtime = F.col("mtime_nanos") if "mtime_nanos" in assets.columns else F.lit(0)
+    files = assets.select("relative_path", F.lit(version).alias("version"), F.coalesce(mtime, F.lit(0)).cast("long").alias("mtime_nanos"), F.col("size").alias("file_size"), F.col("hash_hex").alias("content_hash"))
+    entries = index.select("relative_path", F.struct(*index.columns).alias("index_entry"))
+    return files.join(entries, "relative_path", "left")
+
+
+def manifest_insert(rows: DataFrame, newer: DataFrame) -> DataFrame:
+    """``rows`` with those of ``newer`` added or in the place of rows of the same path."""
+    return rows.join(newer.select("relative_path"), "relative_path", "left_anti").unionByName(newer)

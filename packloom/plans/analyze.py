@@ -23,5 +23,12 @@ def report(assets: DataFrame, width: int = 4_096, least: int = 3) -> dict[str, D
     return {"types": duplicates.type_breakdown(assets), "totals": duplicates.totals(assets), "duplicates": found, "waste": duplicates.waste(found), "similar": similarity.similar_pairs(assets, width, least)}
 
 
+def findings(assets: DataFrame, width: int = 4_096, least: int = 3) -> DataFrame:
+    """``kind, path, other, amount``: a row a copy with its original and size, a row a similar pair with its common blocks."""
+    copies = duplicates.duplicate_map(assets).join(assets.select("relative_path", "size"), "relative_path")
+    pairs = similarity.similar_pairs(assets, width, least)
+    return copies.select(F.lit("duplicate").alias("kind"), F.col("relative_path").alias("path"), F.col("duplicate_of").alias("other"), F.col("size").alias("amount")).unionByName(pairs.select(F.lit("similar").alias("kind"), F.col("path_a").alias("path"), F.col("path_b").alias("other"), F.col("shared").alias("amount")))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

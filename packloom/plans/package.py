@@ -8,16 +8,20 @@ one is deleted.  A failure leaves the old package in place and no other folder.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.classify import codec_level, dict_class, pre_encoding, stored_raw
-from ..functions.delta import decode_bytes, encode_bytes
+from ..functions.delta import BufferDecoder, decode_bytes, encode_bytes
 from ..functions.hashing import xxh3_64
 from ..functions.paths import basename, is_safe_relative
 from ..operators import codec, duplicates
@@ -39,11 +43,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
     fs.delete(target, True)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    fs, target = _fs(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def _publish(spark: SparkSession, temp: str, path: str) -> None:
     fs, source = _fs(spark, temp)
     target, aside = _fs(spark, path)[1], _fs(spark, f"{temp}.old")[1]
@@ -59,14 +69,14 @@ def _publish(spark: SparkSession, temp: str, path: str) -> None:
 
 
 @contextmanager
-def _beside(spark: SparkSession, path: str) -> Iterator[str]:
+def published(spark: SparkSession, path: str) -> Iterator[str]:
     """A temporary folder beside ``path``, published there at the end and deleted after a failure."""
     temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     try:
         yield temp
         _publish(spark, temp, path)
     finally:
-        _delete(spark, temp)
+        delete(spark, temp)
 
 
 def _write_manifest(spark: SparkSession, temp: str) -> None:
@@ -91,7 +101,7 @@ def _chunked(assets: DataFrame, cdc: tuple[int, int, int], mesh_delta: bool) ->
 
 def build(assets: DataFrame, path: str, settings: Settings | None = None, cdc: tuple[int, int, int] = (CDC_MIN, CDC_AVG, CDC_MAX)) -> None:
     """Write a package of ``assets(relative_path, asset_type, size, hash_hex, content)``."""
-    with _beside(assets.sparkSession, path) as temp:
+    with published(assets.sparkSession, path) as temp:
         _build(assets, temp, settings or Settings(), cdc)
 
 
@@ -121,7 +131,7 @@ def _build(assets: DataFrame, temp: str, s: Settings, cdc: tuple[int, int, int])
     index.withColumn("chunks", F.coalesce("chunks", F.from_json(F.lit("[]"), index.schema["chunks"].dataType.simpleString()))).write.parquet(f"{temp}/index")
     _write_manifest(spark, temp)
     for part in ("raw", "marked"):
-        _delete(spark, f"{temp}/{part}")
+        delete(spark, f"{temp}/{part}")
 
 
 def open_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -156,16 +166,19 @@ def _windows(tables: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
     return out
 
 
+def _store(tables: dict[str, DataFrame], refs: DataFrame) -> DataFrame:
+    """``chunk_hash, window, sound`` of the chunks that ``refs`` name."""
+    used = tables["chunks"].join(refs.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+    return _windows(tables, used).withColumn("sound", F.coalesce(xxh3_64("window") == F.col("chunk_hash"), F.lit(False)))
+
+
 def pieces(tables: dict[str, DataFrame], paths: DataFrame | None = None) -> DataFrame:
     """``relative_path, ordinal, start, window, sound``: the stored form of entries of any size, a row a chunk.
 
     Rows of a file in the order of ``ordinal`` are its bytes (of a mesh, their differences).
     """
     refs = tables["refs"] if paths is None else tables["refs"].join(paths, "relative_path", "left_semi")
-    used = tables["chunks"].join(refs.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
-    store = _windows(tables, used)
-    store = store.withColumn("sound", F.coalesce(xxh3_64("window") == F.col("chunk_hash"), F.lit(False)))
-    return refs.join(store, "chunk_hash", "left").select("relative_path", "ordinal", "start", "length", "window", F.coalesce("sound", F.lit(False)).alias("sound"))
+    return refs.join(_store(tables, refs), "chunk_hash", "left").select("relative_path", "ordinal", "start", "length", "window", F.coalesce("sound", F.lit(False)).alias("sound"))
 
 
 def contents(tables: dict[str, DataFrame], paths: DataFrame | None = None, limit: int = BOMB_BYTES) -> DataFrame:
@@ -194,7 +207,113 @@ def contents(tables: dict[str, DataFrame], paths: DataFrame | None = None, limit
 
 
 def verify(tables: dict[str, DataFrame]) -> DataFrame:
-    return contents(tables).select("relative_path", F.col("reason").isNull().alias("ok"), "reason")
+    """``relative_path, ok, reason`` of each entry that stores bytes, of any size."""
+    return _checked(tables, tables["index"].where("duplicate_of is null"), None)
+
+
+def extract_to(tables: dict[str, DataFrame], root: str) -> DataFrame:
+    """Write all entries, of any size, below ``root``, a folder that executors share: ``relative_path, ok, reason``."""
+    return _checked(tables, tables["index"], root)
+
+
+def _checked(tables: dict[str, DataFrame], index: DataFrame, root: str | None) -> DataFrame:
+    """Entries checked against size and hash chunk by chunk, and written below ``root`` if it is given.
+
+    A file's chunks go to one task in their order, which holds a batch of them
+    and never the file; a copy is written from its original's chunks.  A file
+    takes its name once it is whole, so a task may run again.
+    """
+    source = F.coalesce("duplicate_of", "relative_path")
+    entries = index.select("relative_path", source.alias("source"), "size", "content_hash", is_safe_relative(F.col("relative_path")).alias("safe"))
+    stored = tables["index"].select(F.col("relative_path").alias("source"), (F.col("pre_encoding") != "None").alias("coded"))
+    refs = tables["refs"].select(F.col("relative_path").alias("source"), "ordinal", "chunk_hash")
+    rows = entries.join(stored, "source").join(refs, "source", "left")
+    rows = rows.join(_store(tables, rows), "chunk_hash", "left").repartition("relative_path").sortWithinPartitions("relative_path", "ordinal")
+    return rows.select("relative_path", "size", "content_hash", "safe", "coded", "ordinal", "window", "sound").mapInArrow(partial(_check_files, root), VERDICT)
+
+
+VERDICT = "relative_path string, ok boolean, reason string"
+
+
+def _verdicts(rows: list[tuple[str, str | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([r is None for _, r in rows], pa.bool_()), pa.array([r for _, r in rows], pa.string())], ["relative_path", "ok", "reason"])
+
+
+def _place(root: str, path: str) -> str:
+    """The file's name below ``root``, with the folders above it made; a symbolic link on the way is an error."""
+    parent = root
+    for part in path.split("/")[:-1]:
+        parent = os.path.join(parent, part)
+        if os.path.islink(parent):
+            raise OSError("symbolic link on the way")
+    os.makedirs(parent, exist_ok=True)
+    return os.path.join(root, *path.split("/"))
+
+
+class _File:
+    """A file that is checked, and written where there is a root, as its chunks come."""
+
+    def __init__(self, root: str | None, path: str, size: int, content_hash: str, safe: bool, coded: bool):
+        self.path, self.size, self.hash = path, size, content_hash
+        self.sum, self.seen = hashlib.md5(usedforsecurity=False), 0
+        self.decoder = BufferDecoder() if coded else None
+        self.reason = None if safe else "unsafe path"
+        self.out = self.target = None
+        if root is not None and safe:
+            try:
+                self.target = _place(root, path)
+                self.out = open(f"{self.target}.{uuid.uuid4().hex}.part", "wb")
+            except OSError as error:
+                self.reason = str(error)
+
+    def add(self, ordinal: int | None, window: bytes | None, sound: bool | None) -> None:
+        if ordinal is not None and not sound:
+            self.reason = self.reason or "damaged chunk"
+        elif ordinal is not None and self.reason is None:
+            self._take(self.decoder.part(window) if self.decoder else window)
+
+    def _take(self, data: bytes) -> None:
+        self.sum.update(data)
+        self.seen += len(data)
+        if self.seen > self.size:
+            self.reason = "size mismatch"
+        elif self.out is not None:
+            try:
+                self.out.write(data)
+            except OSError as error:
+                self.reason = str(error)
+
+    def end(self) -> tuple[str, str | None]:
+        if self.decoder and self.reason is None:
+            self._take(self.decoder.end())
+        if self.reason is None:
+            self.reason = "size mismatch" if self.seen != self.size else "hash mismatch" if self.sum.hexdigest() != self.hash else None
+        if self.out is not None:
+            try:
+                self.out.close()
+                if self.reason is None:
+                    os.replace(self.out.name, self.target)
+                else:
+                    os.remove(self.out.name)
+            except OSError as error:
+                self.reason = self.reason or str(error)
+        return self.path, self.reason
+
+
+def _check_files(root: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now = None
+    for batch in batches:
+        done = []
+        heads = zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)
+        for k, (path, size, content_hash, safe, coded, ordinal) in enumerate(heads):
+            if now is None or now.path != path:
+                if now is not None:
+                    done.append(now.end())
+                now = _File(root, path, size, content_hash, safe, coded)
+            now.add(ordinal, batch.column(6)[k].as_py(), batch.column(7)[k].as_py())
+        yield _verdicts(done)
+    if now is not None:
+        yield _verdicts([now.end()])
 
 
 def extract_all(tables: dict[str, DataFrame]) -> DataFrame:
@@ -219,33 +338,23 @@ def extract_file(tables: dict[str, DataFrame], path: str) -> DataFrame:
 def write_files(extracted: DataFrame, root: str) -> DataFrame:
     """Write extracted files below ``root``, a folder that executors share; ``relative_path, ok, reason``."""
 
-    def run(batches):
-        import os
-
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content, reason in zip(*(batch.column(c).to_pylist() for c in ("relative_path", "content", "reason")), strict=True):
                 if reason is None:
-                    target = os.path.join(root, *path.split("/"))
                     try:
-                        parent = root
-                        for part in path.split("/")[:-1]:
-                            parent = os.path.join(parent, part)
-                            if os.path.islink(parent):
-                                raise OSError("symbolic link on the way")
-                        os.makedirs(os.path.dirname(target), exist_ok=True)
-                        temp = f"{target}.{os.getpid()}.part"
+                        target = _place(root, path)
+                        temp = f"{target}.{uuid.uuid4().hex}.part"
                         with open(temp, "wb") as file:
                             file.write(content)
                         os.replace(temp, target)
                     except OSError as error:
                         reason = str(error)
-                rows.append((path, reason is None, reason))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.bool_(), pa.string()), strict=True)], ["relative_path", "ok", "reason"])
+                rows.append((path, reason))
+            yield _verdicts(rows)
 
-    return extracted.mapInArrow(run, "relative_path string, ok boolean, reason string")
+    return extracted.mapInArrow(run, VERDICT)
 
 
 def build_incremental(assets: DataFrame, previous: str, path: str, settings: Settings | None = None, cdc: tuple[int, int, int] = (CDC_MIN, CDC_AVG, CDC_MAX)) -> DataFrame:
@@ -262,7 +371,7 @@ def build_incremental(assets: DataFrame, previous: str, path: str, settings: Set
         return assets.select("relative_path", "size", F.lit("recompress").alias("action"))
     plan = incremental_plan(assets, old["index"].select("relative_path", "size", F.col("content_hash").alias("hash_hex")))
     plan = plan.persist()
-    with _beside(spark, path) as temp:
+    with published(spark, path) as temp:
         _build(assets.join(plan.where("action = 'recompress'"), "relative_path", "left_semi"), f"{temp}/new", settings or Settings(), cdc)
         _take_over(spark, old, plan, temp)
     return plan
@@ -293,7 +402,7 @@ def _take_over(spark: SparkSession, old: dict[str, DataFrame], plan: DataFrame,
     named = spark.read.parquet(f"{temp}/chunks").select("dict_id", "dict_class").distinct()
     fresh["dicts"].unionByName(old["dicts"]).join(named, ["dict_id", "dict_class"], "left_semi").write.parquet(f"{temp}/dicts")
     _write_manifest(spark, temp)
-    _delete(spark, f"{temp}/new")
+    delete(spark, f"{temp}/new")
 
 
 def sign(spark: SparkSession, path: str, private: bytes, public: bytes) -> None:

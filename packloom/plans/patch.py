@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import xxh3_64
 from ..operators import codec, versions
 from ..operators.windows import content_chunks
 from ..sources.config import CDC_AVG, CDC_MAX, CDC_MIN, PATCH_LEVEL
+from .package import published
+
+TABLES = ["entries", "refs", "chunks"]
+VERSION = 1
 
 
 def _chunks(assets: DataFrame, cdc: tuple[int, int, int]) -> DataFrame:
@@ -36,3 +40,20 @@ def apply_patch(old: DataFrame, patch: dict[str, DataFrame], cdc: tuple[int, int
     built = built.select("relative_path", "content", (F.md5("content") == F.col("new_hash")).alias("ok"))
     same = old.join(patch["entries"].select("relative_path"), "relative_path", "left_anti").select("relative_path", "content", F.lit(True).alias("ok"))
     return same.unionByName(built)
+
+
+def write_patch(spark: SparkSession, patch: dict[str, DataFrame], path: str, cdc: tuple[int, int, int] = (CDC_MIN, CDC_AVG, CDC_MAX)) -> None:
+    """Write a patch as a folder that appears whole or not at all; its head names the version and how chunks were cut."""
+    with published(spark, path) as temp:
+        for name in TABLES:
+            patch[name].write.parquet(f"{temp}/{name}")
+        head = spark.createDataFrame([(VERSION, *cdc)], "version int, cdc_min int, cdc_avg int, cdc_max int")
+        head.coalesce(1).write.parquet(f"{temp}/head")
+
+
+def open_patch(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], tuple[int, int, int]]:
+    """The tables of a patch and its chunk sizes; a missing table or a newer version is an error."""
+    head = spark.read.parquet(f"{path}/head").first()
+    if head is None or head["version"] > VERSION:
+        raise ValueError(f"not a patch of version {VERSION} or before: {path}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}, (head["cdc_min"], head["cdc_avg"], head["cdc_max"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import classify, delta, numbers, paths
 from .functions.hashing import unsigned, xxh3_64
 from .operators import chunks, codec, duplicates, integrity, listing, ordering, patterns, similarity, versions, windows
-from .plans import analyze as analyze_plan, package, patch
+from .plans import analyze as analyze_plan, benchmark, package, patch
 from .sources import assets as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +385,14 @@ def f9_content_chunks(spark, d):
     return made.select("relative_path", "ordinal", "start", "length", F.md5("window").alias("chunk_md5"))
 
 
+@query(_sql(_ASSETS, select="SELECT relative_path, size, hash_hex AS content_md5 FROM assets WHERE size > 0"))
+def f9_chunks_cover(spark, d):
+    """Content-defined chunks put together are the files."""
+    made = windows.content_chunks(_assets(spark, d), ["relative_path"], *CDC)
+    whole = made.groupBy("relative_path").agg(F.sum("length").alias("size"), F.array_sort(F.collect_list(F.struct("ordinal", F.hex("window").alias("piece")))).alias("p"))
+    return whole.select("relative_path", "size", F.md5(F.unhex(F.array_join(F.col("p.piece"), ""))).alias("content_md5"))
+
+
 @query()
 def i8_apply_patterns(spark, d):
     a = _assets(spark, d)
@@ -583,6 +591,29 @@ def j4_patch_round_trip(spark, d):
     return built.select("relative_path", F.md5("content").alias("content_md5"), "ok")
 
 
+@query(_sql(*_V, select="SELECT relative_path, hash_hex AS content_md5, true AS ok FROM new_assets"))
+def b7_patch_on_disk(spark, d):
+    old, new = _old_new(spark, d)
+    path = ordering.scratch(spark)
+    patch.write_patch(spark, patch.build_patch(old, new, CDC), path, CDC)
+    built = patch.apply_patch(old, *patch.open_patch(spark, path))
+    return built.select("relative_path", F.md5("content").alias("content_md5"), "ok")
+
+
+@query(
+    _sql(
+        *_V,
+        select="""SELECT relative_path, 1 AS version, 0 AS mtime_nanos, size AS file_size, hash_hex AS content_hash, asset_type AS entry_type FROM (
+        SELECT relative_path, size, hash_hex, asset_type FROM new_assets
+        UNION ALL SELECT relative_path, size, hash_hex, asset_type FROM old_assets WHERE relative_path NOT IN (SELECT relative_path FROM new_assets))""",
+    )
+)
+def c21b_manifest_rows(spark, d):
+    """What the older build remembers, with the newer build's rows inserted."""
+    rows = [versions.manifest_rows(a, a.select("relative_path", "asset_type"), 1) for a in (x.drop("content") for x in _old_new(spark, d))]
+    return versions.manifest_insert(*rows).select("relative_path", "version", "mtime_nanos", "file_size", "content_hash", F.col("index_entry.asset_type").alias("entry_type"))
+
+
 # Codecs and verbs
 
 @query(_sql(_ASSETS, select="SELECT relative_path, true AS same FROM assets WHERE ext NOT IN ('png', 'ogg')"))
@@ -675,6 +706,21 @@ def e14_codec_benchmark(spark, d):
     return codec.benchmark(_assets(spark, d))
 
 
+@query()
+def j6_benchmark(spark, d):
+    """A row a codec and a row a package, the package without a type's own settings and with them."""
+    return benchmark.run(_assets(spark, d), cdc=CDC)
+
+
+@query(_sql(_ASSETS, select="SELECT relative_path, hash_hex AS content_md5, true AS ok FROM assets"))
+def b4c_extract_to_folder(spark, d):
+    """Entries written to a folder chunk by chunk, which is then scanned."""
+    root = ordering.scratch(spark).removeprefix("file://").removeprefix("file:")
+    wrote = ordering.fixed(package.extract_to(package.open_package(spark, _package(spark, d)), root))  # files are written once
+    found = sources.scan_assets(spark, root).select("relative_path", F.col("hash_hex").alias("content_md5"))
+    return wrote.join(found, "relative_path", "left").select("relative_path", "content_md5", "ok")
+
+
 @query(
     _sql(
         _ASSETS,
@@ -687,3 +733,17 @@ def e14_codec_benchmark(spark, d):
 )
 def j1_analyze(spark, d):
     return analyze_plan.analyze(_light(spark, d))
+
+
+@query(
+    _sql(
+        _ASSETS,
+        _CLUSTERS,
+        _BLOCKS,
+        "sigs AS (SELECT DISTINCT relative_path, chunk_hash FROM blocks)",
+        select="""SELECT 'duplicate' AS kind, a.relative_path AS path, d.duplicate_of AS other, a.size AS amount FROM dups d JOIN assets a USING (relative_path)
+        UNION ALL SELECT 'similar', a.relative_path, b.relative_path, count(*) FROM sigs a JOIN sigs b ON a.chunk_hash = b.chunk_hash AND a.relative_path < b.relative_path GROUP BY 2, 3 HAVING count(*) >= 3""",
+    )
+)
+def j1_findings(spark, d):
+    return analyze_plan.findings(_assets(spark, d), BLOCK)

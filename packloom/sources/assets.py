@@ -28,14 +28,14 @@ def empty_files(spark: SparkSession, root: str) -> DataFrame:
     while files.hasNext():
         status = files.next()
         if status.getLen() == 0:
-            found.append((status.getPath().toString(),))
-    return spark.createDataFrame(found, "path string")
+            found.append((status.getPath().toString(), status.getModificationTime() * 1_000_000))
+    return spark.createDataFrame(found, "path string, mtime_nanos long")
 
 
 def describe(files: DataFrame, root: str, *, xxh3: bool = True) -> DataFrame:
-    """``path, content`` to the columns of ``SCHEMA``."""
+    """``path, content`` to the columns of ``SCHEMA``, and ``mtime_nanos`` where there is one."""
     relative = relative_to(F.col("path"), root)
-    return files.select("path", relative.alias("relative_path"), asset_type(relative, F.col("content")).alias("asset_type"), F.octet_length("content").cast("long").alias("size"), (xxh3_64("content") if xxh3 else F.lit(None).cast("long")).alias("hash"), F.md5("content").alias("hash_hex"), "content")
+    return files.select("path", relative.alias("relative_path"), asset_type(relative, F.col("content")).alias("asset_type"), F.octet_length("content").cast("long").alias("size"), (xxh3_64("content") if xxh3 else F.lit(None).cast("long")).alias("hash"), F.md5("content").alias("hash_hex"), "content", *(["mtime_nanos"] if "mtime_nanos" in files.columns else []))
 
 
 def scan_assets(spark: SparkSession, root: str) -> DataFrame:
@@ -45,11 +45,11 @@ def scan_assets(spark: SparkSession, root: str) -> DataFrame:
     fit into one binary value.
     """
     uri = _root_uri(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root).select("path", "content")
-    none = empty_files(spark, root).select("path", F.lit(b"").alias("content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root).select("path", "content", (F.unix_micros("modificationTime") * 1_000).alias("mtime_nanos"))
+    none = empty_files(spark, root).select("path", F.lit(b"").alias("content"), "mtime_nanos")
     # the reader and the listing may write the scheme of a local path in two ways
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    return describe(files.union(none).select(plain(F.col("path")).alias("path"), "content"), uri.replace("file:///", "file:/"))
+    return describe(files.union(none).select(plain(F.col("path")).alias("path"), "content", "mtime_nanos"), uri.replace("file:///", "file:/"))
 
 
 def documents_as_assets(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ container has to lie where executors can open it.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -170,20 +171,20 @@ def container_contents(spark: SparkSession, path: str, opened: dict[str, Any] |
     ones are lists of literals and patterns.
     """
     opened = opened or open_container(path)
-    stored = [(k, e["relative_path"]) for k, e in enumerate(opened["index"]) if e["duplicate_of"] is None]
-    index, body, dictionary = opened["index"], opened["header"]["body_offset"], opened["dictionary"]
+    stored = [(json.dumps(e),) for e in opened["index"] if e["duplicate_of"] is None]  # a task gets its own entries only
+    body, dictionary = opened["header"]["body_offset"], opened["dictionary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(path, "rb") as file:
             for batch in batches:
-                for k, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for entry in map(json.loads, batch.column(0).to_pylist()):
                     content, reason = None, None
                     try:
-                        content = _decode(file, body, index[k], dictionary, large)
-                        if xxhash.xxh3_64_intdigest(content) != index[k]["content_hash"] and (content or index[k]["uncompressed_length"]):
+                        content = _decode(file, body, entry, dictionary, large)
+                        if xxhash.xxh3_64_intdigest(content) != entry["content_hash"] and (content or entry["uncompressed_length"]):
                             content, reason = None, "hash mismatch"
                     except (Corrupt, zstandard.ZstdError, struct.error) as error:
                         reason = str(error) or "damaged"
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary()), pa.array([reason], pa.string())], ["relative_path", "content", "reason"])
+                    yield pa.RecordBatch.from_arrays([pa.array([entry["relative_path"]]), pa.array([content], pa.binary()), pa.array([reason], pa.string())], ["relative_path", "content", "reason"])
 
-    return spark.createDataFrame(stored, "k long, relative_path string").mapInArrow(run, "relative_path string, content binary, reason string")
+    return spark.createDataFrame(stored, "entry string").mapInArrow(run, "relative_path string, content binary, reason string")

@@ -7,8 +7,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from packloom import cli
-from packloom.functions.delta import decode_buffer, encode_buffer
+from packloom.functions.delta import BufferDecoder, decode_buffer, encode_buffer
 from packloom.operators.integrity import Ed25519
+from packloom.operators import versions
 from packloom.operators.windows import cut_points
 from packloom.plans import package, patch
 from packloom.sources import config
@@ -27,6 +28,12 @@ def test_delta_round_trip(data):
     assert len(encode_buffer(data)) == len(data)
 
 
+@given(st.lists(st.binary(max_size=40)))
+def test_delta_in_parts(parts):
+    decoder, data = BufferDecoder(), b"".join(parts)
+    assert b"".join([*map(decoder.part, parts), decoder.end()]) == decode_buffer(data)
+
+
 def test_delta_with_trailing_bytes():
     data = bytes(range(53))
     assert decode_buffer(encode_buffer(data)) == data and encode_buffer(data)[-1:] == data[-1:]
@@ -152,6 +159,70 @@ def test_bomb_guard_and_pieces(spark, tree, tmp_path, made):
     assert b"".join(bytes(r["window"]) for r in rows) == files["large.bin"] and all(r["sound"] for r in rows)
 
 
+def test_files_are_written_chunk_by_chunk(spark, tree, tmp_path, made, monkeypatch):
+    """Files of many batches, empty ones, copies under another type and damaged ones; ``contents`` would refuse them all."""
+    monkeypatch.setattr(package, "BOMB_BYTES", 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        body = made["random"](4, 40_001)
+        files = {"a/large.bin": body, "b.mesh": body[:20_003], "none.bin": b"", "copy.mesh": body, "c.bin": made["random"](5, 7_000)}
+        package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
+        tables = package.open_package(spark, str(tmp_path / "p"))
+        assert all(r["ok"] for r in package.extract_to(tables, str(tmp_path / "out")).collect())
+        assert {k: (tmp_path / "out" / k).read_bytes() for k in files} == files
+        assert len([f for _, _, names in os.walk(tmp_path / "out") for f in names]) == len(files)
+        hit = tables["refs"].where("relative_path = 'c.bin' and ordinal = 1").first()["chunk_hash"]
+        tables["chunks"] = tables["chunks"].where(F.col("chunk_hash") != hit)
+        found = {r["relative_path"]: r["reason"] for r in package.extract_to(tables, str(tmp_path / "out2")).collect()}
+        assert found == dict.fromkeys(files) | {"c.bin": "damaged chunk"} and sorted(os.listdir(tmp_path / "out2")) == ["a", "b.mesh", "copy.mesh", "none.bin"]
+        wrong = {"size": F.col("size") - 1, "content_hash": F.lit("0")}
+        for name, value in wrong.items():
+            changed = tables | {"index": tables["index"].withColumn(name, F.when(F.col("relative_path") == "b.mesh", value).otherwise(F.col(name)))}
+            assert {r["relative_path"]: r["reason"] for r in package.verify(changed).collect()}["b.mesh"] == {"size": "size mismatch", "content_hash": "hash mismatch"}[name]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_unsafe_entries_are_not_written(spark, tree, tmp_path):
+    package.build(scan_assets(spark, tree({"ok.bin": b"ok", "x.bin": b"evil"})), str(tmp_path / "p"), cdc=CDC)
+    tables = package.open_package(spark, str(tmp_path / "p"))
+    for name in ("index", "refs"):
+        tables[name] = tables[name].withColumn("relative_path", F.when(F.col("relative_path") == "x.bin", "../evil.bin").otherwise(F.col("relative_path")))
+    found = {r["relative_path"]: r["reason"] for r in package.extract_to(tables, str(tmp_path / "out")).collect()}
+    assert found == {"ok.bin": None, "../evil.bin": "unsafe path"} and not (tmp_path / "evil.bin").exists()
+    os.makedirs(tmp_path / "linked")
+    os.symlink(tmp_path / "linked", tmp_path / "out" / "d")
+    package.build(scan_assets(spark, tree({"d/x.bin": b"x"}, "in2")), str(tmp_path / "p2"), cdc=CDC)
+    assert [r["reason"] for r in package.extract_to(package.open_package(spark, str(tmp_path / "p2")), str(tmp_path / "out")).collect()] == ["symbolic link on the way"]
+
+
+def test_manifest_rows(spark, tree, made):
+    root = tree({"a.bin": b"a", "none.bin": b""})
+    for k, name in enumerate(("a.bin", "none.bin")):
+        os.utime(os.path.join(root, name), (1_700_000_000 + k, 1_700_000_000 + k))
+    assets = scan_assets(spark, root)
+    rows = versions.manifest_rows(assets, assets.select("relative_path", "asset_type"), 1)
+    assert {r["relative_path"]: r["mtime_nanos"] for r in rows.collect()} == {"a.bin": 1_700_000_000 * 10**9, "none.bin": 1_700_000_001 * 10**9}
+    newer = rows.where("relative_path = 'a.bin'").withColumn("file_size", F.lit(9).cast("long"))
+    assert {r["relative_path"]: r["file_size"] for r in versions.manifest_insert(rows, newer).collect()} == {"a.bin": 9, "none.bin": 0}
+
+
+def test_patch_on_disk(spark, tree, tmp_path, made):
+    old, new = tree({"a.bin": made["random"](1, 9_000)}, "old"), tree({"a.bin": made["random"](1, 9_000) + b"more", "b.bin": b"b"}, "new")
+    path = str(tmp_path / "patch")
+    patch.write_patch(spark, patch.build_patch(scan_assets(spark, old), scan_assets(spark, new), CDC), path, CDC)
+    tables, cdc = patch.open_patch(spark, path)
+    assert cdc == CDC and contents(patch.apply_patch(scan_assets(spark, old), tables, cdc))["b.bin"] == b"b"
+    spark.read.parquet(f"{path}/head").withColumn("version", F.lit(99)).write.parquet(f"{path}/head2")
+    os.rename(f"{path}/head", f"{path}/head1")
+    os.rename(f"{path}/head2", f"{path}/head")
+    with pytest.raises(ValueError):
+        patch.open_patch(spark, path)
+    assert cli.main(["patch", old, new, "--output", str(tmp_path / "q")], spark) == 0
+    assert cli.main(["apply-patch", old, str(tmp_path / "q"), "--output", str(tmp_path / "made")], spark) == 0
+    assert (tmp_path / "made/a.bin").read_bytes() == made["random"](1, 9_000) + b"more"
+
+
 def test_incremental_without_previous(spark, tree, tmp_path, made):
     plan = package.build_incremental(scan_assets(spark, tree({"a.bin": b"abc"})), str(tmp_path / "none"), str(tmp_path / "p"), cdc=CDC)
     assert [r["action"] for r in plan.collect()] == ["recompress"]
