@@ -158,32 +158,32 @@ def _without(text: str, gone: list[int], hasher: WordHasher) -> tuple[str, int]:
     return "".join(kept) + text[at:], len(touched)
 
 
-def _rewrite(names: list[str], text_col: str):
+def _rewrite(names: list[str], text_col: str, counts: tuple[str, str]):
     """Columns ``text, row, gone`` to the columns of ``row`` and what is left of the text in its place, and the two counts."""
 
     def make():
         hasher = WordHasher()
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            texts, counts, removed = [], [], []
+            texts, held, removed = [], [], []
             for x, gone in zip(part.column("text"), part.column("gone"), strict=True):
                 text, n = x.as_py(), 0
-                counts.append(len(lines(text)) if text else 0)
+                held.append(len(lines(text)) if text else 0)
                 if gone.is_valid:
                     text, n = _without(text, gone.as_py(), hasher)
                 texts.append(text)
                 removed.append(n)
             others = iter(part.column("row").flatten()[1:])
             columns = [pa.array(texts, pa.string()) if n == text_col else next(others) for n in names]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts])
 
         return one
 
     return by_parts(make, "text", PART_ROWS, PART_BYTES)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, within_lines: bool = False) -> DataFrame:
-    """``df`` with repeated passages removed from ``text_col``, and ``n_lines``, ``n_removed``.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, within_lines: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``df`` with repeated passages removed from ``text_col``, and ``counts``: how many lines a text has and loses.
 
     Null and empty texts have no window and stay as they are; blank lines count
     as lines, but windows of blank lines only are no passage.  A text may be of
@@ -192,14 +192,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one id and one text are one document and lose the same; rows of one id and
     different texts are documents of their own, in the order of a hash of the
     text.  Rows of a null id stay as they are.  An empty table gives no rows.
-    Columns ``n_lines`` and ``n_removed`` are replaced if present; other columns
-    stay, whatever their names.  Windows are compared by 64-bit hash.
+    Columns named in ``counts`` are replaced if present; other columns stay,
+    whatever their names.  Windows are compared by 64-bit hash.
 
     ``within_lines`` also removes later copies of passages of 49 words or more
     that hold fewer than three whole lines, but for some words at their ends;
     lines that lose only words count as removed.
     """
-    fields = [StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in df.schema if f.name not in ("n_lines", "n_removed")]
+    fields = [StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in df.schema if f.name not in counts]
     names = [f.name for f in fields]
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{n}`") for n in names if n != text_col)).alias("row"))
     unique = base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
@@ -221,8 +221,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         joined = whole.select(columns).union(base.join(ids, "key", "left_semi").join(gone, "key").select(columns))
     else:
         joined = base.join(gone, "key", "left").select(columns)
-    out = StructType([*fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return joined.mapInArrow(_rewrite(names, text_col), out)
+    out = StructType([*fields, *(StructField(c, LongType()) for c in counts)])
+    return joined.mapInArrow(_rewrite(names, text_col, counts), out)
 
 
 #: DuckDB counterpart over ``documents``, for ids that are unique, of windows of whole lines.
