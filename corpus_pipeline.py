@@ -42,6 +42,14 @@ def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return docs.join(_of(refused), "doc_id", "left_anti").select(docs.columns)
 
 
+def _free(name: str, df: DataFrame) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trained classifier calls toxic go."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -56,9 +64,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages go; so do documents that consisted of nothing else."""
-    out = linededup.remove_repeats(docs, within_lines=True)
-    out = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    lines, removed = _free("n_lines", docs), _free("n_removed", docs)
+    out = linededup.remove_repeats(docs, within_lines=True, counts=(lines, removed))
+    out = out.where((F.col(removed) == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
