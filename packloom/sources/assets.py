@@ -9,6 +9,8 @@ from ..functions.hashing import xxh3_64
 from ..functions.paths import relative_to
 
 SCHEMA = "path string, relative_path string, asset_type string, size long, hash long, hash_hex string, content binary"
+#: Files that a task of a scan reads at most.
+FILES_OF_A_SPLIT = 1_000
 #: Extensions that stand in for files in tables without any, by id.
 DOCUMENT_EXT = ["png", "obj", "ogg", "txt"]
 
@@ -20,15 +22,36 @@ def _root_uri(spark: SparkSession, root: str) -> str:
 
 
 def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of no bytes, which the binary reader leaves out; from a listing, no file is opened."""
+    """Files of no bytes, which the binary reader leaves out; from a listing, no file is opened.
+
+    The JVM sorts each folder's entries, folders first and files by size, so only
+    folders and empty files cost calls from here.
+    """
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
-    found = []
-    while files.hasNext():
-        status = files.next()
-        if status.getLen() == 0:
-            found.append((status.getPath().toString(), status.getModificationTime() * 1_000_000))
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    kind, find = jvm.java.lang.Class.forName, jvm.java.lang.invoke.MethodHandles.publicLookup().findVirtual
+
+    def getter(interface: str, name: str, result):
+        handle = find(kind("org.apache.hadoop.fs.FileStatus"), name, jvm.java.lang.invoke.MethodType.methodType(result))
+        return jvm.java.lang.invoke.MethodHandleProxies.asInterfaceInstance(kind(interface), handle)
+
+    by_size = jvm.java.util.Comparator.comparingLong(getter("java.util.function.ToLongFunction", "getLen", jvm.java.lang.Long.TYPE))
+    folders_first = jvm.java.util.Comparator.comparing(getter("java.util.function.Function", "isFile", jvm.java.lang.Boolean.TYPE))
+    found, todo = [], [start]
+    while todo:
+        # a status with a location would ask the system for each local file's owner
+        entries = jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(fs.listStatusIterator(todo.pop()))
+        jvm.java.util.Collections.sort(entries, by_size)
+        jvm.java.util.Collections.sort(entries, folders_first)
+        for k in range(entries.size()):
+            status = entries.get(k)
+            if status.isDirectory():
+                todo.append(status.getPath())
+            elif status.getLen() == 0:
+                found.append((status.getPath().toString(), status.getModificationTime() * 1_000_000))
+            else:
+                break
     return spark.createDataFrame(found, "path string, mtime_nanos long")
 
 
@@ -45,11 +68,15 @@ def scan_assets(spark: SparkSession, root: str) -> DataFrame:
     fit into one binary value.
     """
     uri = _root_uri(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root).select("path", "content", (F.unix_micros("modificationTime") * 1_000).alias("mtime_nanos"))
+    # opening a file counts for little beside a split's bytes; settings of a session of its own hold for this reader only
+    own, size = spark.newSession(), spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    own.conf.set("spark.sql.files.maxPartitionBytes", size)
+    own.conf.set("spark.sql.files.openCostInBytes", max(1, size // FILES_OF_A_SPLIT))
+    files = own.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root).select("path", "content", (F.unix_micros("modificationTime") * 1_000).alias("mtime_nanos"))
     none = empty_files(spark, root).select("path", F.lit(b"").alias("content"), "mtime_nanos")
     # the reader and the listing may write the scheme of a local path in two ways
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    return describe(files.union(none).select(plain(F.col("path")).alias("path"), "content", "mtime_nanos"), uri.replace("file:///", "file:/"))
+    return describe(none.select("path", "content", "mtime_nanos").union(files).select(plain(F.col("path")).alias("path"), "content", "mtime_nanos"), uri.replace("file:///", "file:/"))
 
 
 def documents_as_assets(docs: DataFrame) -> DataFrame:

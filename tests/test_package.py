@@ -61,6 +61,18 @@ def test_scan_keeps_empty_files(spark, tree, made):
     assert found == {"a/x.png": ("Texture", 264), "a/empty.bin": ("Unknown", 0), "b.obj": ("Mesh", 3)}
 
 
+def test_scan_of_many_files_has_few_splits(spark, tree):
+    files = {f"d{k % 7}/e {k % 3}/{k}.bin": b"" if k % 50 == 0 else b"%d" % k for k in range(400)}
+    root = tree(files)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        found = scan_assets(spark, root)
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism  # 100 and more where a file counts for 4 MB
+        assert {r["relative_path"]: bytes(r["content"]) for r in found.collect()} == files
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_round_trip_and_choices(spark, tree, tmp_path, made):
     files = {"meshes/ship.mesh": made["mesh"](), "textures/hero.png": made["png"](), "audio/theme.ogg": made["ogg"](), "none.bin": b"", "a.bin": made["random"](42, 65536), "b.bin": made["random"](42, 65536)}
     package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
