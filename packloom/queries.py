@@ -646,7 +646,11 @@ def j7_verify_package(spark, d):
 def b3_b4_b5_d9_extract_file(spark, d):
     tables = package.open_package(spark, _package(spark, d))
     path = "en/src1/doc_21.obj"
-    return package.extract_file(tables, path).select(F.lit(path).alias("relative_path"), F.md5("content").alias("content_md5"))
+    try:
+        found = package.extract_file(tables, path)
+    except KeyError:  # no file of that name: no row
+        return spark.createDataFrame([], "relative_path string, content_md5 string")
+    return found.select(F.lit(path).alias("relative_path"), F.md5("content").alias("content_md5"))
 
 
 @query(_sql(*(_VERSIONS, _versions_as("old_docs", "old_assets"), _versions_as("new_docs", "new_assets")), select="SELECT relative_path, hash_hex AS content_md5, true AS ok FROM new_assets"))

@@ -33,3 +33,14 @@ def test_query(spark, duck, name):
     for flag in ("same", "ok"):
         if flag in found and name not in queries.ORACLES:
             assert found[flag].all()
+
+
+def test_extract_of_a_document_that_is_not_there(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id <> 21")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    name = "b3_b4_b5_d9_extract_file"
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    pd.testing.assert_frame_equal(rows(found), rows(c.sql(queries.ORACLES[name]).df()))
+    assert not len(found)
