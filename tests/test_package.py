@@ -73,6 +73,20 @@ def test_scan_of_many_files_has_few_splits(spark, tree):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_extraction_of_many_files_is_scanned_in_few_splits(spark, tree, tmp_path):
+    files = {f"d{k % 5}/{k}.txt": b"%d " % k * (k % 4) for k in range(120)}
+    package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
+    wrote = package.extract_to(package.open_package(spark, str(tmp_path / "p")), str(tmp_path / "out")).collect()
+    assert len(wrote) == len(files) and all(r["ok"] for r in wrote)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        found = scan_assets(spark, str(tmp_path / "out"))
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert contents(found) == files
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_round_trip_and_choices(spark, tree, tmp_path, made):
     files = {"meshes/ship.mesh": made["mesh"](), "textures/hero.png": made["png"](), "audio/theme.ogg": made["ogg"](), "none.bin": b"", "a.bin": made["random"](42, 65536), "b.bin": made["random"](42, 65536)}
     package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
