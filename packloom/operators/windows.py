@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Bytes of contents whose chunks are put out at once; a larger file is put out alone.
+PART_BYTES = 4 << 20
+
 
 def window_hash(window: Column) -> Column:
     """MD5 over the window in hexadecimal, which SQL engines without byte strings can repeat."""
@@ -31,6 +35,7 @@ def tumbling_blocks(df: DataFrame, width: int, content: str = "content") -> Data
     return df.withColumn("ordinal", F.explode(ordinals)).withColumn("start", F.col("ordinal") * width).withColumn("window", F.substring(F.col(content), F.col("start") + 1, F.lit(width)))
 
 
+@lru_cache(4)
 def gear_table(seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """256 words of 64 bits from a counter-based generator."""
     x = (np.arange(1, 257, dtype=np.uint64) * np.uint64(seed)).copy()
@@ -80,11 +85,22 @@ def content_chunks(df: DataFrame, key: list[str], least: int, average: int, most
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(batch: pa.RecordBatch, rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+            of, ordinals, starts, windows = zip(*rows, strict=True)
+            of = pa.array(of, pa.int64())
+            return pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(len(key))), pa.array(ordinals, pa.int32()), pa.array(starts, pa.int64()), pa.array(map(len, windows), pa.int64()), pa.array(windows, pa.binary())], [*key, "ordinal", "start", "length", "window"])
+
         for batch in batches:
+            rows, held = [], 0
             for i in range(batch.num_rows):
                 data = batch.column(len(key))[i].as_py() or b""
+                if rows and held + len(data) > PART_BYTES:
+                    yield out(batch, rows)
+                    rows, held = [], 0
                 cuts = cut_points(data, least, average, most)
-                starts = [0, *cuts[:-1]] if cuts else []
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array([i] * len(cuts), pa.int64())) for k in range(len(key))), pa.array(range(len(cuts)), pa.int32()), pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, cuts, strict=True)], pa.int64()), pa.array([data[a:b] for a, b in zip(starts, cuts, strict=True)], pa.binary())], [*key, "ordinal", "start", "length", "window"])
+                rows += [(i, k, a, data[a:b]) for k, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts))]  # an empty file has no cuts
+                held += len(data)
+            if rows:
+                yield out(batch, rows)
 
     return df.select(*key, content).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", ordinal int, start long, length long, window binary")

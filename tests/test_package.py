@@ -87,6 +87,24 @@ def test_extraction_of_many_files_is_scanned_in_few_splits(spark, tree, tmp_path
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_build_and_extraction_move_no_contents_for_names(spark, tree, tmp_path, made, monkeypatch):
+    files = {f"d{k % 3}/{k}.txt": made["random"](k % 20, 3000) for k in range(60)} | {"none.txt": b"", "long.bin": made["random"](77, 5 << 20), "z.obj": made["mesh"]()}
+    plans, chunked = [], package.content_chunks
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(package, "content_chunks", lambda df, *rest: plans.append(plan(df)) or chunked(df, *rest))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
+        wrote = package.extract_to(package.open_package(spark, str(tmp_path / "p")), str(tmp_path / "out"))
+        plans.append(plan(wrote))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plans[0]  # copies were taken out by a join of contents
+    assert "LeftSemi" not in plans[1]  # chunks were first joined with the references that name them
+    assert all(r["ok"] for r in wrote.collect()) and contents(scan_assets(spark, str(tmp_path / "out"))) == files
+    assert sorted(x.name for x in (tmp_path / "p").iterdir()) == sorted(package.TABLES)
+
+
 def test_round_trip_and_choices(spark, tree, tmp_path, made):
     files = {"meshes/ship.mesh": made["mesh"](), "textures/hero.png": made["png"](), "audio/theme.ogg": made["ogg"](), "none.bin": b"", "a.bin": made["random"](42, 65536), "b.bin": made["random"](42, 65536)}
     package.build(scan_assets(spark, tree(files)), str(tmp_path / "p"), cdc=CDC)
