@@ -118,8 +118,11 @@ def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("id", "d1", "n")), pa.array(np.concatenate(found))], ["id", "d1", "n", "shingle"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` of texts whose full sets link, as ``(a, b)``; each pair carries its two sets once."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """Those of ``pairs`` of texts whose full sets link, as ``(a, b)``; each pair carries its two sets once, sets of no pair are not shuffled."""
+    ids = steps.stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "mh-compared")
+    if ids.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(ids), "id", "left_semi")
     x = sets.select(F.col("id").alias("a"), F.col("d1").alias("da"), F.col("words").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("d1").alias("db"), F.col("words").alias("y"))
     return pairs.select("a", "da", "b", "db").join(x, ["a", "da"]).join(y, ["b", "db"]).select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
@@ -175,7 +178,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     classes = steps.stage(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")), "mh-classes")
     twins = classes.where("rep <> top").select("d1", "d2", "rep")
-    repeats = not solid.groupBy("id", "d1").count().where("count > 1").isEmpty()  # rows of one id and text
+    again = steps.stage(solid.groupBy("id", "d1").count().where("count > 1").select("id").distinct(), "mh-again")
+    repeats = not again.isEmpty()  # rows of one id and set
     members = solid.select("id", "d1", "d2")
     members = (members.distinct() if repeats else members).join(F.broadcast(twins) if twins.count() <= BROADCAST_IDS else twins, ["d1", "d2"]).where("id <> rep")
     members = steps.stage(members, "mh-copies")
@@ -187,28 +191,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     full = steps.stage(full, "mh-full")
     members = steps.stage(rows.join(full, "key"), "mh-members")
+    steps.drop(full)
     ids = steps.stage(members.select("id").distinct(), "mh-ids")
-    sets = _within(docs, ids).mapInArrow(_sets(words), "id long, d1 long, n long, words binary, bits array<long>")
-    if repeats:
-        sets = sets.dropDuplicates(["id", "d1"])
+    made = lambda ids: _within(docs, ids).mapInArrow(_sets(words), "id long, d1 long, n long, words binary, bits array<long>")
+    if repeats:  # only sets of such ids are shuffled
+        once, twice = (steps.stage(ids.join(again, "id", how), "mh-ids") for how in ("left_anti", "left_semi"))
+        sets = made(once).union(made(twice).dropDuplicates(["id", "d1"]))
+    else:
+        sets = made(ids)
     sets = steps.stage(sets, "mh-sets")
 
     # One comparison per member, with the most popular leader of its buckets.
     popular = steps.stage(members.groupBy("id", "d1").agg(F.sum("size").alias("fame")), "mh-fame")
     known = steps.stage(members.select("key", "id", "d1").join(popular, ["id", "d1"]), "mh-known")
+    steps.drop(popular)
     top = F.max(F.struct("fame", (-F.col("id")).alias("neg"), "d1")).alias("top")
     leaders = steps.stage(known.groupBy("key").agg(top).select("key", F.col("top.fame").alias("fame"), (-F.col("top.neg")).alias("leader"), F.col("top.d1").alias("dl")), "mh-leaders")
     led = known.select("key", "id", "d1").join(leaders, "key").where("id <> leader")
     best = led.groupBy("id", "d1").agg(F.max(F.struct("fame", (-F.col("leader")).alias("neg"), "dl")).alias("top")).select(F.col("id").alias("a"), F.col("d1").alias("da"), (-F.col("top.neg")).alias("b"), F.col("top.dl").alias("db"))
-    first = steps.stage(_verified(steps.stage(best, "mh-best"), sets, percent), "mh-first")
+    best = steps.stage(best, "mh-best")
+    steps.drop(known)
+    first = steps.stage(_verified(best, sets, percent, steps), "mh-first")
     joined = connected_components(first)
 
     # Buckets that still hold several components.
     part = F.coalesce("component_id", "id")
     placed = steps.stage(members.join(joined, "id", "left").select("key", "id", "d1", "n", part.alias("part")), "mh-placed")
+    steps.drop(members)
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     mixed = steps.stage(mixed.join(leaders.select("key", "leader"), "key").join(joined.withColumnRenamed("id", "leader"), "leader", "left").select("key", F.coalesce("component_id", "leader").alias("main")), "mh-mixed")
     open_ = steps.stage(placed.join(mixed, "key"), "mh-open")
+    steps.drop(placed)
     outside = F.col("part") != F.col("main")
     heavy = open_.groupBy("key").agg(F.sum(outside.cast("long")).alias("outside"), F.count("*").alias("all")).where(F.col("outside") * F.col("all") > HEAVY_PAIRS)
     heavy = steps.stage(heavy.select(F.col("key").alias("heavy")), "mh-heavy")
@@ -225,7 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = _ordered(x.join(y, "key").where(new & _fits("an", "bn", percent) & (_least_difference("abits", "bbits") * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))))
     if by_shingle is not None:
         rest = rest.union(by_shingle).distinct()
-    second = steps.stage(_verified(steps.stage(rest, "mh-rest"), sets, percent), "mh-second")
+    second = steps.stage(_verified(steps.stage(rest, "mh-rest"), sets, percent, steps), "mh-second")
 
     labels = connected_components(copies.union(first).union(second))
     steps.clear()

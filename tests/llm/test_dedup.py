@@ -102,6 +102,20 @@ def test_minhash_long_and_tied(spark):
     assert found == {9: 4, 4: 4, 7: 4, 2: 1, 1: 1, 3: 3}
 
 
+def test_minhash_shuffles_few_sets(spark):
+    """One repeated id does not make the sets of all other ids move."""
+    rnd = random.Random(5)
+    rows = [(1, "a b c d e f"), (1, "a b c d e  f")]
+    for k in range(100):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(2_000)]
+        rows += [(10 * k + j, " ".join([*words, f"x{j}"])) for j in range(2, 5)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(found[10 * k + j] == 10 * k + 2 for k in range(100) for j in range(2, 5))
+    assert written() - before < 300 * 8 * 2_000 / 2  # half the bytes of all sets
+
+
 def test_minhash_awkward(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = minhash.near_duplicates(spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (3, None)], DOCS)).collect()
